@@ -1,0 +1,44 @@
+"""Connected components by alternating large-star and small-star rounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from corpusloom.llm.workspace import Workspace
+
+#: Rounds grow with the logarithm of the graph's size; this many would mean a fault.
+MAX_ROUNDS = 60
+
+
+def _stars(edges: DataFrame, large: bool) -> DataFrame:
+    """One round over edges (hi, lo) with hi > lo: link neighbours to the least one in sight."""
+    if large:
+        both = edges.select("hi", "lo").unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
+        seen = both.withColumn("least", F.least(F.min("lo").over(Window.partitionBy("hi")), F.col("hi")))
+        out = seen.where("lo > hi").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
+        return out.where("hi > lo").distinct()
+    seen = edges.withColumn("least", F.min("lo").over(Window.partitionBy("hi")))
+    out = seen.select(F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("least").alias("lo")), F.struct("hi", F.col("least").alias("lo")))).alias("e")).select("e.*")
+    return out.where("hi > lo").distinct()
+
+
+def connected_components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """Rows (doc_id, group_id) for every end of an edge (a, b); group_id is the least id that is connected with doc_id.
+
+    Loops and repeated edges change nothing; rows with a null end are left out. No edges: no rows.
+    """
+    edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
+    edges = work.save(edges, f"{name}-0")
+    mark = None
+    for k in range(1, MAX_ROUNDS):
+        step = work.save(_stars(_stars(edges, True), False), f"{name}-{k}")
+        work.drop(f"{name}-{k - 1}")
+        edges = step
+        now = step.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
+        if now == mark:
+            break
+        mark = now
+    else:
+        raise RuntimeError("the components did not settle")
+    return edges.select(F.col("hi").alias("doc_id"), F.col("lo").alias("group_id")).unionByName(edges.select(F.col("lo").alias("doc_id"), F.col("lo").alias("group_id")).distinct())
