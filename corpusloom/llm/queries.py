@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontam, jaccard_join, substring_dedup
+from corpusloom.llm import decontam, jaccard_join, lang_id, secret_scan, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_documents(spark, sf_dir))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated_spans(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -25,9 +29,14 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_pairs(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_decontamination, op5_substring_dedup, op8_jaccard_join)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(_documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_scan, op4_decontamination, op5_substring_dedup, op8_jaccard_join, op9_language_id)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_secret_scan": secret_scan.SQL,
     "op4_decontamination": decontam.SQL,
     "op5_substring_dedup": substring_dedup.SQL,
     "op8_jaccard_join": jaccard_join.SQL,
