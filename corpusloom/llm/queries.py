@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontam, jaccard_join, lang_id, secret_scan, substring_dedup
+from corpusloom.llm import decontam, jaccard_join, lang_id, secret_scan, spm, substring_dedup
+
+#: The merge-type model that the registered queries use; the operators take any path.
+SPM_MODEL = os.environ.get("CORPUSLOOM_SPM_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +29,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(_documents(spark, sf_dir))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.encode_documents(_documents(spark, sf_dir), SPM_MODEL)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_pairs(_documents(spark, sf_dir))
 
@@ -33,7 +41,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_scan, op4_decontamination, op5_substring_dedup, op8_jaccard_join, op9_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_scan, op4_decontamination, op5_substring_dedup, op7_sentencepiece, op8_jaccard_join, op9_language_id)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_secret_scan": secret_scan.SQL,
