@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.kernels import arrow_map, buffers, mix
+from corpusloom.llm.workspace import Workspace
 
 WINDOW = 64
 #: Entropy in steps: 0 for one byte value only, STEPS for 64 different ones.
@@ -30,6 +31,8 @@ BITS, HASHES, PER_FILTER = 2048, 5, 160
 LEAST_FEATURES = 6
 #: Bytes of the reference digests that may be sent to every task; beyond, they are joined by shuffle.
 SEND_BYTES = 16 << 20
+#: Bytes of digests in one lot of such a join.
+LOT_BYTES = 1 << 20
 
 _SCALE = 1 << 20
 _LOG = np.array([0] + [round(c * np.log2(c) * _SCALE) for c in range(1, WINDOW + 1)], np.int64)
@@ -191,73 +194,82 @@ def digests(docs: DataFrame, ranks: np.ndarray, key: str = "doc_id") -> DataFram
     return rows.mapInArrow(_digest(ranks), "id bigint, n_features bigint, n_filters bigint, digest binary")
 
 
-def _against(references: list[tuple[int, bytes]]):
-    """Add to each digest the best of the references and its score."""
-    made = [(k, *unpack(d)) for k, d in sorted(references, key=lambda r: r[0])]
-    made = [(k, a[n >= LEAST_FEATURES], n[n >= LEAST_FEATURES]) for k, a, n in made if (n >= LEAST_FEATURES).any()]
-    owner = np.repeat(np.arange(len(made)), [len(n) for _, _, n in made]) if made else np.zeros(0, int)
-    bits = np.concatenate([a for _, a, _ in made]) if made else np.zeros((0, BITS // 8), np.uint8)
-    counts = np.concatenate([n for _, _, n in made]) if made else np.zeros(0, int)
-    names = np.array([k for k, _, _ in made], np.int64)
-    size = np.bincount(owner, minlength=len(made))
-    head = np.cumsum(size) - size
+class References:
+    """Digests to compare with, by id."""
+
+    def __init__(self, rows: list[tuple[int, bytes]]):
+        made = [(k, *unpack(d)) for k, d in sorted(rows)]
+        made = [(k, bits[n >= LEAST_FEATURES], n[n >= LEAST_FEATURES]) for k, bits, n in made if (n >= LEAST_FEATURES).any()]
+        self.names = np.array([k for k, _, _ in made], np.int64)
+        self.size = np.array([len(n) for _, _, n in made], np.int64)
+        self.head = np.cumsum(self.size) - self.size
+        self.bits = np.concatenate([b for _, b, _ in made]) if made else np.zeros((0, BITS // 8), np.uint8)
+        self.counts = np.concatenate([n for _, _, n in made]) if made else np.zeros(0, np.int64)
+
+    def best(self, digest: bytes) -> tuple[int | None, float | None]:
+        """The reference most like the digest, the least id of equals, and its score by compare(); no id if no score is over 0, no score if there is nothing to compare."""
+        bits, n = unpack(digest)
+        own = n >= LEAST_FEATURES
+        if not own.any() or not len(self.names):
+            return None, None
+        total = len(n)
+        grid = np.concatenate([compare_filters(bits[s : s + 64], n[s : s + 64], self.bits, self.counts) for s in range(0, total, 64)])
+        if not grid.any():
+            return None, 0.0
+        # The side with fewer filters looks for its best partners.
+        down = np.maximum.reduceat(grid[own], self.head, axis=1).mean(axis=0)
+        up = np.add.reduceat(grid.max(axis=0), self.head) / self.size
+        scores = np.where(total > self.size, up, down)
+        k = int(scores.argmax())
+        return (int(self.names[k]), float(scores[k])) if scores[k] > 0 else (None, 0.0)
+
+
+def _against(held):
+    """Add to each digest the best of the references and its score. held: a broadcast of References."""
 
     def run(batches):
         for batch in batches:
-            item, score = [], []
-            for s in range(0, batch.num_rows, 256):
-                part = batch.column(3).slice(s, 256).to_pylist()
-                rows = [unpack(d) for d in part]
-                per = np.array([len(n) for _, n in rows])
-                whose = np.repeat(np.arange(len(part)), per)
-                grid = compare_filters(np.concatenate([a for a, _ in rows]), np.concatenate([n for _, n in rows]), bits, counts) if per.sum() and len(made) else np.zeros((int(per.sum()), len(owner)))
-                enough = np.concatenate([n for _, n in rows]) >= LEAST_FEATURES if len(rows) else np.zeros(0, bool)
-                begin = np.cumsum(per) - per
-                for d in range(len(part)):
-                    own = grid[begin[d] : begin[d] + per[d]]
-                    ok = enough[begin[d] : begin[d] + per[d]]
-                    if not ok.any() or not len(made) or not own.any():
-                        item.append(None)
-                        score.append(0.0 if ok.any() and len(made) else None)
-                        continue
-                    # The side with fewer filters looks for its best partners.
-                    down = np.maximum.reduceat(own[ok], head, axis=1).mean(axis=0)
-                    up = np.add.reduceat(own.max(axis=0), head) / size
-                    s_all = np.where(per[d] > size, up, down)
-                    k = int(s_all.argmax())
-                    item.append(int(names[k]) if s_all[k] > 0 else None)
-                    score.append(float(s_all[k]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(item, pa.int64()), pa.array(score, pa.float64())], [*batch.schema.names, "best_id", "score"])
+            found = [held.value.best(d) for d in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k for k, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], [*batch.schema.names, "best_id", "score"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, references: DataFrame, reference_key: str) -> DataFrame:
+def _by_lot(batches):
+    """(row, digest, ids, digests of a lot) to (row, best_id, score)."""
+    last, own = None, None
+    for batch in batches:
+        row, digest, ids, lot = batch.columns
+        best = []
+        for k in range(batch.num_rows):
+            names = ids[k].as_py()
+            if names != last:
+                last, own = names, References(list(zip(names, lot[k].as_py())))
+            best.append(own.best(digest[k].as_py()))
+        yield pa.RecordBatch.from_arrays([row, pa.array([k for k, _ in best], pa.int64()), pa.array([s for _, s in best], pa.float64())], ["row", "best_id", "score"])
+
+
+def fingerprints(docs: DataFrame, references: DataFrame, reference_key: str, send_bytes: int = SEND_BYTES) -> DataFrame:
     """Each row's digest, and the reference text whose digest is most like it: (doc_id, n_features, n_filters, digest, best_id, score).
 
     Ranks come from all texts of docs. Score is compare()'s; of equal scores the least
     reference id counts; best_id is null if no reference has a score over 0, and score too if
     there is nothing to compare. References without an id or without enough features take no
-    part. The references' digests are sent to every task in lots of at most SEND_BYTES, one
-    lot after the other, so what is sent at once is bounded. Nulls, empty texts, repeated
-    rows and extra columns are as in digests().
+    part; repeated ones count once. If the references' digests take more than send_bytes,
+    they are not sent to the tasks but joined in lots by shuffle, with the same result.
+    Nulls, empty and long texts, repeated rows and extra columns are as in digests().
     """
     ranks = entropy_ranks(docs)
     own = digests(docs, ranks)
-    schema = "id bigint, n_features bigint, n_filters bigint, digest binary, best_id bigint, score double"
-    known = digests(references.where(F.col(reference_key).isNotNull()), ranks, reference_key).select("id", "digest")
-    lots, lot, size = [], [], 0
-    for r in known.toLocalIterator():
-        if lot and size + len(r.digest) > SEND_BYTES:
-            lots.append(lot)
-            lot, size = [], 0
-        lot.append((r.id, bytes(r.digest)))
-        size += len(r.digest)
-    lots.append(lot)
-    out = own.mapInArrow(_against(lots[0]), schema)
-    for lot in lots[1:]:
-        more = out.drop("best_id", "score").withColumns({"old_id": F.lit(None).cast("bigint")}).drop("old_id")
-        raise_lot = out.select("id", "n_features", "n_filters", "digest", F.col("best_id").alias("b0"), F.col("score").alias("s0"))
-        del more
-        out = raise_lot.mapInArrow(_better(lot), schema)
-    return out.withColumnRenamed("id", "doc_id")
+    known = digests(references.where(F.col(reference_key).isNotNull()), ranks, reference_key).where("n_features > 0").select("id", "digest").distinct()
+    work = Workspace(docs.sparkSession)
+    known = work.save(known, "references")
+    bytes_ = known.agg(F.sum(F.length("digest"))).first()[0] or 0
+    if bytes_ <= send_bytes:
+        held = docs.sparkSession.sparkContext.broadcast(References([(r.id, bytes(r.digest)) for r in known.collect()]))
+        return own.mapInArrow(_against(held), "id bigint, n_features bigint, n_filters bigint, digest binary, best_id bigint, score double").withColumnRenamed("id", "doc_id")
+    own = work.save(own.withColumn("row", F.monotonically_increasing_id()), "digests")
+    lots = work.save(known.groupBy(F.pmod(F.xxhash64("id"), F.lit(-(-bytes_ // LOT_BYTES))).alias("lot")).agg(F.array_sort(F.collect_list(F.struct("id", "digest"))).alias("each")).select(F.col("each.id").alias("ids"), F.col("each.digest").alias("lot")), "lots")
+    scored = own.select("row", "digest").crossJoin(lots).mapInArrow(_by_lot, "row bigint, best_id bigint, score double")
+    best = scored.groupBy("row").agg(F.max_by("best_id", F.struct("score", -F.col("best_id"))).alias("best_id"), F.max("score").alias("score"))
+    return own.join(best, "row", "left").select(F.col("id").alias("doc_id"), "n_features", "n_filters", "digest", "best_id", "score")
