@@ -1,0 +1,205 @@
+"""Text functions: normal forms, hashes, n-grams, surface measures.
+
+Java's and RE2's shorthand classes are ASCII only, so words and white space are spelled
+out; the same spelling gives the same result in both engines.
+"""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: White space as Unicode has it, in brackets.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+NOT_WORD = r"[^\p{L}\p{N}_]+"
+MOJIBAKE = ("Ã", "â€", "Â", "ð\u009f", "Ä±", "ÅŸ", "ÄŸ")
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+TURKISH = ("IİÇĞÖŞÜ", "ıiçğöşü")
+#: Characters of text per token where no tokenizer is at hand.
+CHARS_PER_TOKEN = 3.6
+#: What ends a sentence, in the scripts at hand.
+TERMINAL = ".!?…:;\"')]}۔،؟。！？」』"
+
+#: Elements of a page whose content is no text of its own.
+HTML_DROPPED = "(?is)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}>" for t in ("script", "style", "nav", "footer", "header", "noscript"))
+
+
+def let(value: Column, then) -> Column:
+    """then(value) with value computed once, however often `then` uses it; no Python function may stand within `then`."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def one_spaced(text: Column) -> Column:
+    """Every run of white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+
+
+def is_nfc(text: Column) -> Column:
+    """Whether the text is in normal form C. Texts below U+0300 always are and don't leave the JVM's fast path; the others go to Python in Arrow batches."""
+
+    @F.arrow_udf("boolean")
+    def check(column: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else unicodedata.is_normalized("NFC", t) for t in column.to_pylist()], pa.bool_())
+
+    plain = ~text.rlike("[^\\x00-\\x{2ff}]")
+    return F.when(text.isNull(), None).otherwise(F.coalesce(check(F.when(~plain, text)), F.lit(True)))
+
+
+def nfc(text: Column) -> Column:
+    """The text in normal form C."""
+
+    @F.arrow_udf("string")
+    def compose(column: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in column.to_pylist()], pa.string())
+
+    return F.coalesce(compose(F.when(text.rlike("[^\\x00-\\x{2ff}]"), text)), text)
+
+
+def folded(text: Column) -> Column:
+    """Lower case with Turkish capitals taken as Turkish, and all that is no word as one space."""
+    return F.trim(F.regexp_replace(F.lower(F.translate(text, *TURKISH)), NOT_WORD, " "))
+
+
+def words(text: Column) -> Column:
+    """The words of folded(); none for an empty text."""
+    return let(folded(text), lambda flat: F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " ")))
+
+
+def plain_words(text: Column) -> Column:
+    """What white space separates."""
+    return let(one_spaced(text), lambda flat: F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " ")))
+
+
+def hash60(text: Column) -> Column:
+    """A positive 60-bit hash that SQL engines with md5 can compute too."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
+def grams(of: Column, n: int) -> Column:
+    """All runs of n words, joined by spaces; fewer than n words are one run, none give none."""
+    many = F.transform(F.sequence(F.lit(1), F.size(of) - n + 1), lambda i: F.array_join(F.slice(of, i, F.lit(n)), " "))
+    return F.when(F.size(of) == 0, F.array().cast("array<string>")).when(F.size(of) < n, F.array(F.array_join(of, " "))).otherwise(many)
+
+
+def gram_hashes(of: Column, n: int) -> Column:
+    """The distinct hashes of grams()."""
+    return let(of, lambda w: F.array_distinct(F.transform(grams(w, n), hash60)))
+
+
+def repetition(text: Column, n: int = 10) -> Column:
+    """Share of runs of n words that repeat another one; 0 for fewer than 2n words."""
+    return let(plain_words(text), lambda of: F.when(F.size(of) < 2 * n, 0.0).otherwise(let(grams(of, n), lambda runs: 1 - F.size(F.array_distinct(runs)) / F.size(runs))))
+
+
+def has_mojibake(text: Column) -> Column:
+    found = F.lit(False)
+    for m in MOJIBAKE:
+        found = found | text.contains(m)
+    return found
+
+
+def has_control(text: Column) -> Column:
+    return text.rlike(CONTROL)
+
+
+def lines(text: Column) -> Column:
+    """The text's lines without white space at their ends, and without empty ones."""
+    return F.filter(F.transform(F.split(text, "\n"), stripped), lambda x: x != "")
+
+
+def line_shape(text: Column, least: int = 200) -> Column:
+    """(punct_share, short_share, dup_share) of a text's lines; null for a text of fewer than `least` characters or without lines."""
+    return let(F.when(F.length(text) >= least, lines(text)), _shape)
+
+
+def _shape(own: Column) -> Column:
+    n = F.size(own)
+    chars = F.aggregate(own, F.lit(0).cast("bigint"), lambda s, x: s + F.length(x))
+    once = F.aggregate(F.array_distinct(own), F.lit(0).cast("bigint"), lambda s, x: s + F.length(x))
+    punct = F.size(F.filter(own, lambda x: F.lit(TERMINAL).contains(F.right(x, F.lit(1)))))
+    shape = F.struct((punct / n).alias("punct_share"), (F.size(F.filter(own, lambda x: F.length(x) < 30)) / n).alias("short_share"), ((chars - once) / chars).alias("dup_share"))
+    return F.when(n > 0, shape)
+
+
+def surface(text: Column) -> Column:
+    """(space_share, other_share): white space, and what is neither space nor letter."""
+    n = F.length(text)
+    space = n - F.length(F.regexp_replace(text, f"{SPACE}+", ""))
+    letters = n - F.length(F.regexp_replace(text, r"[\p{L}]+", ""))
+    none = F.struct(F.lit(0.0).alias("space_share"), F.lit(0.0).alias("other_share"))
+    return F.when(n == 0, none).otherwise(F.struct((space / n).alias("space_share"), ((n - space - letters) / n).alias("other_share")))
+
+
+def excerpt(text: Column, limit: int = 220) -> Column:
+    """The text on one line, cut with an ellipsis."""
+    flat = one_spaced(text)
+    return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.substring(flat, 1, limit - 1), F.lit("…")))
+
+
+def token_estimate(text: Column) -> Column:
+    """Tokens by length, 1 at least."""
+    return F.greatest(F.lit(1), F.floor(F.length(text) / CHARS_PER_TOKEN).cast("int")).cast("bigint")
+
+
+def word_estimate(text: Column) -> Column:
+    """Spaces and one; 0 for an empty text."""
+    return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("bigint")
+
+
+def html_stripped(page: Column) -> Column:
+    """Without scripts, styles, navigation, headers and footers, then without tags."""
+    return one_spaced(F.regexp_replace(F.regexp_replace(page, HTML_DROPPED, " "), r"(?s)<[^>]+>", " "))
+
+
+def markdown_stripped(text: Column) -> Column:
+    """Images go, links keep their words, headings and emphasis lose their marks."""
+    out = F.regexp_replace(text, r"!\[[^\]]*\]\([^)]*\)", " ")
+    out = F.regexp_replace(out, r"\[([^\]]*)\]\([^)]*\)", "$1")
+    out = F.regexp_replace(out, r"(?m)^#{1,6}[ \t]*", "")
+    return F.regexp_replace(out, r"[*_`~]{1,3}", "")
+
+
+def code_comments(code: Column) -> Column:
+    """The comments of code: blocks, and lines of 12 characters and more; joined by line breaks."""
+    blocks = F.regexp_extract_all(code, F.lit(r"(?s)/\*(.*?)\*/"), F.lit(1))
+    own = F.regexp_extract_all(code, F.lit(r"(?m)(?://|#)[ \t]*([^\n]{12,})$"), F.lit(1))
+    return F.array_join(F.transform(F.concat(blocks, own), one_spaced), "\n")
+
+
+def detected_format(name: Column, content: Column) -> Column:
+    """jsonl, json, csv, tsv, html, markdown, code or plain: by the file name's suffix, else by how the content begins."""
+    low, head = F.lower(name), F.ltrim(F.substring(content, 1, 4000))
+    by_name = F.when(low.rlike(r"\.(jsonl|ndjson)$"), "jsonl").when(low.endswith(".json"), "json").when(low.endswith(".csv"), "csv").when(low.endswith(".tsv"), "tsv").when(low.rlike(r"\.html?$"), "html").when(low.rlike(r"\.(md|markdown)$"), "markdown").when(low.rlike(r"\.(py|js|ts|java|go|rs|c|cc|cpp|h|rb|php|sh|sql)$"), "code")
+    by_content = F.when(head.rlike(r"^(?i)(<!doctype html|<html)"), "html").when(head.rlike(r"^\{[^\n]*\}\s*\n\s*\{"), "jsonl").when(head.rlike(r"^[\[{]"), "json").when(head.rlike(r"(?m)^#{1,6} \S"), "markdown").otherwise("plain")
+    return F.coalesce(by_name, by_content)
+
+
+def masked(value: Column, how: str) -> Column:
+    """A value that can be shown: full, prefix6, tail4 or local_domain."""
+    n = F.length(value)
+    if how == "full":
+        return F.lit("[masked]")
+    if how == "prefix6":
+        return F.concat(F.substring(value, 1, 6), F.lit("…"))
+    if how == "tail4":
+        return F.concat(F.lit("…"), F.substring(value, F.greatest(n - 3, F.lit(1)), F.lit(4)))
+    return F.concat(F.substring(value, 1, 1), F.lit("…@"), F.substring_index(value, "@", -1))
+
+
+def escaped(text: Column, limit: int = 400) -> Column:
+    """Safe to print: control characters shown as pictures, direction marks dropped, markup escaped, cut at `limit`."""
+    out = F.regexp_replace(text, r"[\x{202a}-\x{202e}\x{2066}-\x{2069}\x{200e}\x{200f}]", "")
+    shown = "".join(chr(0x2400 + c) for c in range(32))
+    out = F.translate(out, "".join(map(chr, range(32))), shown)
+    out = F.substring(out, 1, limit)
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
