@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -51,30 +53,29 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     return a.join(b, "dataset", "left").select("dataset", "first_seen", "copies", "clusters", "largest", "wasted_tokens", F.coalesce("loose_copies", F.lit(0)).alias("loose_copies"))
 
 
-def signature_column(hashes: Column, preset: Preset) -> Column:
-    """The least value of every lane over a set of hashes; an Arrow batch at a time."""
+def _sign(preset: Preset):
+    """(doc_id, dataset, exact, hashes) to (doc_id, dataset, exact, signature): the least value of every lane over the hashes, a batch at a time."""
     own = np.array(coefficients(preset.lanes), np.int64)
 
-    @F.arrow_udf("array<bigint>")
-    def sign(column: pa.Array) -> pa.Array:
-        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64) % PRIME
-        at = np.concatenate([[0], np.cumsum(np.array([0 if x is None else x for x in pa.compute.list_value_length(column).to_pylist()], np.int64))])
-        some = np.flatnonzero(np.diff(at))
-        out = np.zeros((len(some), len(own)), np.int64)
-        if len(some):
-            for k, (a, b) in enumerate(own):
-                out[:, k] = np.minimum.reduceat((flat * a + b) % PRIME, at[:-1][some])
-        ends = np.zeros(len(column) + 1, np.int32)
-        ends[some + 1] = len(own)
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(ends).astype(np.int32)), pa.array(out.ravel()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(3)
+            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64) % PRIME
+            at = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False))])[:-1].astype(np.int64)
+            out = np.zeros((batch.num_rows, len(own)), np.int64)
+            if batch.num_rows:
+                for k, (a, b) in enumerate(own):
+                    out[:, k] = np.minimum.reduceat((flat * a + b) % PRIME, at)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, len(own), dtype=np.int32)), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["doc_id", "dataset", "exact", "signature"])
 
-    return sign(hashes)
+    return run
 
 
 def signatures(docs: DataFrame, preset: Preset = PRESETS["fineweb"], shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, dataset, exact, signature) of texts of 40 characters and more that have a word; exact is the hash of the text without regard to case and white space."""
     seen = docs.where(F.length("text") >= SHORTEST).select("doc_id", "dataset", T.hash60(T.one_spaced(F.lower("text"))).alias("exact"), T.gram_hashes(T.words(F.col("text")), shingle).alias("g"))
-    return seen.where(F.size("g") > 0).select("doc_id", "dataset", "exact", signature_column(F.col("g"), preset).alias("signature"))
+    return seen.where(F.size("g") > 0).mapInArrow(_sign(preset), "doc_id bigint, dataset string, exact bigint, signature array<bigint>")
 
 
 def near_pairs(signed: DataFrame, preset: Preset = PRESETS["fineweb"], cap: int = BUCKET_CAP) -> DataFrame:

@@ -26,17 +26,20 @@ def plain_words(x: str) -> str:
     return f"list_filter(string_split({ws(x)}, ' '), lambda w: w <> '')"
 
 
-def grams(w: str, n: int) -> str:
-    return f"CASE WHEN len({w}) = 0 THEN [] WHEN len({w}) < {n} THEN [array_to_string({w}, ' ')] ELSE list_transform(range(1, len({w}) - {n} + 2), lambda i: array_to_string({w}[i:i + {n - 1}], ' ')) END"
+def gram_rows(source: str, key: str, n: int) -> str:
+    """(key, gram) for every run of n words in rows (key, w) of `source`; fewer than n words are one run."""
+    return f"SELECT {key}, array_to_string(w[i:i + {n - 1}], ' ') AS gram FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - {n - 1}, 1) + 1)) AS i FROM {source} WHERE len(w) > 0)"
 
 
 def hash60(x: str) -> str:
     return f"CAST(('0x' || substr(md5({x}), 1, 15)) AS BIGINT)"
 
 
-def repetition(x: str, n: int = 10) -> str:
-    w = plain_words(x)
-    return f"CASE WHEN len({w}) < {2 * n} THEN 0.0 ELSE 1 - len(list_distinct({grams(w, n)})) / len({grams(w, n)}) END"
+def repetition(source: str, key: str, text: str) -> str:
+    """CTEs that end with repeated (key, repetition)."""
+    return f"""split_ AS (SELECT {key}, {plain_words(text)} AS w FROM {source}),
+runs AS ({gram_rows("(SELECT * FROM split_ WHERE len(w) >= 20)", key, 10)}),
+repeated AS (SELECT {key}, 1 - count(DISTINCT gram) / count(*) AS repetition FROM runs GROUP BY {key})"""
 
 
 def tokens(x: str) -> str:
@@ -88,21 +91,19 @@ g AS (SELECT dataset, count(*) AS total, CAST(count_if(p < 0.12) AS BIGINT) AS l
 SELECT *, total >= 50 AND low_punct + short_lines + dup_lines > 0 AS flagged FROM g"""
 
 
-def _degeneracy(source: str, prompt: str, answer: str) -> str:
+def _degeneracy(source: str, key: str, prompt: str, answer: str) -> str:
     return f"""
 WITH {source},
-x AS (SELECT dataset, {answer} AS answer, {prompt} AS prompt FROM {'convs' if 'convs' in source else 'docs'}),
-y AS (SELECT dataset, answer, lower({ws('answer')}) AS a, lower({ws("coalesce(prompt, '')")}) AS p FROM x WHERE coalesce(answer, '') <> ''),
-k AS (SELECT dataset, CASE WHEN length({strip('answer')}) <= 3 THEN 'trivial' WHEN {repetition('answer')} >= 0.5 THEN 'looping'
-  WHEN length(a) > 40 AND p <> '' AND (contains(p, a) OR contains(a, p)) AND least(length(a), length(p)) / greatest(length(a), length(p)) >= 0.9 THEN 'copy' END AS kind FROM y)
+x AS (SELECT {key} AS key, dataset, {answer} AS answer, {prompt} AS prompt FROM {'convs' if 'convs' in source else 'docs'}),
+y AS (SELECT key, dataset, answer, lower({ws('answer')}) AS a, lower({ws("coalesce(prompt, '')")}) AS p FROM x WHERE coalesce(answer, '') <> ''),
+{repetition('y', 'key', 'answer')},
+k AS (SELECT dataset, CASE WHEN length({strip('answer')}) <= 3 THEN 'trivial' WHEN coalesce(repetition, 0) >= 0.5 THEN 'looping'
+  WHEN length(a) > 40 AND p <> '' AND (contains(p, a) OR contains(a, p)) AND least(length(a), length(p)) / greatest(length(a), length(p)) >= 0.9 THEN 'copy' ELSE '' END AS kind FROM y LEFT JOIN repeated USING (key))
 SELECT dataset, count(*) AS total, CAST(count_if(kind = 'trivial') AS BIGINT) AS trivial, CAST(count_if(kind = 'looping') AS BIGINT) AS looping, CAST(count_if(kind = 'copy') AS BIGINT) AS copies FROM k GROUP BY dataset"""
 
 
-SQL["degeneracy"] = _degeneracy(TURNS, "prompt", "answer")
-SQL["document_degeneracy"] = _degeneracy(DOCS, "NULL::VARCHAR", "text")
-
-_TCKN = "(7 * (d(1) + d(3) + d(5) + d(7) + d(9)) - (d(2) + d(4) + d(6) + d(8))) % 10"
-
+SQL["degeneracy"] = _degeneracy(TURNS, "conv_id", "prompt", "answer")
+SQL["document_degeneracy"] = _degeneracy(DOCS, "doc_id", "NULL::VARCHAR", "text")
 
 def _valid(kind: str | None) -> str:
     d = lambda k: f"CAST(substr(v, {k}, 1) AS INTEGER)"
@@ -122,7 +123,7 @@ def _valid(kind: str | None) -> str:
 
 _MASK = {"full": "'[masked]'", "prefix6": "substr(v, 1, 6) || '…'", "tail4": "'…' || right(v, 4)", "local_domain": "substr(v, 1, 1) || '…@' || regexp_extract(v, '[^@]*$')"}
 _PERSONAL = "\n  UNION ALL ".join(
-    f"SELECT doc_id, dataset, '{k.kind}' AS kind, {_MASK[k.mask]} AS masked FROM (SELECT doc_id, dataset, list_filter(regexp_extract_all(text, {Q(k.expression.replace('(?:', '(?:'))}), lambda v: {_valid(k.valid)})[1] AS v FROM docs WHERE text IS NOT NULL) WHERE v IS NOT NULL" for k in P.PERSONAL
+    f"SELECT doc_id, dataset, '{k.kind}' AS kind, {_MASK[k.mask]} AS masked FROM (SELECT doc_id, dataset, list_filter(regexp_extract_all(text, {Q(k.expression)}), lambda v: {_valid(k.valid)})[1] AS v FROM docs WHERE text IS NOT NULL) WHERE v IS NOT NULL" for k in P.PERSONAL
 )
 SQL["personal_data"] = f"WITH {DOCS}, found AS (\n  {_PERSONAL})\nSELECT kind, count(*) AS records, count(DISTINCT dataset) AS datasets, min(doc_id) AS first_doc FROM found GROUP BY kind"
 SQL["personal_evidence"] = f"WITH {DOCS}, found AS (\n  {_PERSONAL})\nSELECT kind, doc_id, masked FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY doc_id, masked) AS n FROM found) WHERE n <= 8"
@@ -190,8 +191,9 @@ SQL["script_mismatches"] = f"WITH {LANGS} SELECT lang, count(*) AS total, CAST(c
 SQL["licences_missing"] = f"WITH {DOCS} SELECT dataset FROM docs GROUP BY dataset HAVING NOT bool_or(coalesce(contains(lower(text), 'license'), false))"
 SQL["totals"] = f"WITH {DOCS}, t AS (SELECT dataset, coalesce(text, '') AS t FROM docs) SELECT dataset, count(*) AS records, CAST(sum(length(t)) AS BIGINT) AS chars, CAST(sum(CASE WHEN t = '' THEN 0 ELSE length(t) - length(replace(t, ' ', '')) + 1 END) AS BIGINT) AS words, CAST(sum({tokens('t')}) AS BIGINT) AS tokens FROM t GROUP BY dataset"
 SQL["surface_measures"] = f"""
-WITH {DOCS}, c AS (SELECT doc_id, text, length(text) AS n, length(text) - length(regexp_replace(text, {Q(SPACE + '+')}, '', 'g')) AS s, length(text) - length(regexp_replace(text, '\\p{{L}}+', '', 'g')) AS l FROM docs WHERE text IS NOT NULL)
-SELECT doc_id, CASE WHEN n = 0 THEN 0.0 ELSE round(s / n, 6) END AS space_share, CASE WHEN n = 0 THEN 0.0 ELSE round((n - s - l) / n, 6) END AS other_share, round({repetition('text')}, 6) AS repetition FROM c"""
+WITH {DOCS}, {repetition('docs', 'doc_id', 'text')},
+c AS (SELECT doc_id, length(text) AS n, length(text) - length(regexp_replace(text, {Q(SPACE + '+')}, '', 'g')) AS s, length(text) - length(regexp_replace(text, '\\p{{L}}+', '', 'g')) AS l FROM docs WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN n = 0 THEN 0.0 ELSE round(s / n, 6) END AS space_share, CASE WHEN n = 0 THEN 0.0 ELSE round((n - s - l) / n, 6) END AS other_share, coalesce(round(repetition, 6), 0.0) AS repetition FROM c LEFT JOIN repeated USING (doc_id)"""
 SQL["content_digest"] = f"WITH {DOCS} SELECT count(*) AS records, CAST(sum(CAST({hash60('concat_ws(' + Q('|') + ', length(dataset), dataset, length(text), text)')} AS HUGEINT)) % 1000000000000000000 AS BIGINT) AS digest FROM docs"
 _place = hash60("dataset || ':' || CAST(doc_id AS VARCHAR)")
 SQL["bottom_k"] = f"WITH {DOCS} SELECT doc_id, dataset, {_place} AS h FROM docs WHERE length(text) > 20 ORDER BY h, doc_id LIMIT 100"
@@ -211,11 +213,13 @@ df AS (SELECT word, count(*) AS df FROM tf GROUP BY word), s AS (SELECT "group",
 SELECT "group", CAST(rank AS INTEGER) AS rank, word, score FROM (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY score DESC, word) AS rank FROM s) WHERE rank <= 12"""
 
 _preset = PRESETS["fineweb"]
-_lanes = "[" + ", ".join(f"[{a}, {b}]" for a, b in coefficients(_preset.lanes)) + "]"
+_lanes = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(coefficients(_preset.lanes)))
 NEAR = f"""{DOCS},
-shingles AS (SELECT doc_id, dataset, {hash60(ws('lower(text)'))} AS exact, list_distinct(list_transform(g, lambda x: {hash60('x')})) AS g FROM (
-  SELECT doc_id, dataset, text, {grams('w', 5)} AS g FROM (SELECT *, {words('text')} AS w FROM docs WHERE length(text) >= 40) WHERE len(w) > 0)),
-signed AS (SELECT doc_id, dataset, exact, list_transform(CAST({_lanes} AS BIGINT[][]), lambda c: list_min(list_transform(g, lambda x: (c[1] * (x % {PRIME}) + c[2]) % {PRIME}))) AS signature FROM shingles),
+kept AS (SELECT doc_id, dataset, {hash60(ws('lower(text)'))} AS exact, {words('text')} AS w FROM docs WHERE length(text) >= 40),
+shingles AS (SELECT DISTINCT doc_id, {hash60('gram')} % {PRIME} AS x FROM ({gram_rows('kept', 'doc_id', 5)})),
+lanes(lane, a, b) AS (VALUES {_lanes}),
+least_ AS (SELECT doc_id, lane, min((CAST(a AS BIGINT) * x + b) % {PRIME}) AS m FROM shingles, lanes GROUP BY doc_id, lane),
+signed AS (SELECT doc_id, dataset, exact, signature FROM (SELECT doc_id, list(m ORDER BY lane) AS signature FROM least_ GROUP BY doc_id) JOIN kept USING (doc_id)),
 bands AS (SELECT doc_id, {hash60("CAST(b AS VARCHAR) || ',' || array_to_string(signature[b * 8 + 1:b * 8 + 8], ',')")} AS band FROM signed, range({_preset.bands}) r(b)),
 few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY doc_id) AS n FROM bands) WHERE n <= 200),
 candidates AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM few x JOIN few y ON x.band = y.band AND x.doc_id < y.doc_id),
@@ -236,9 +240,12 @@ m AS (SELECT source, target, count(DISTINCT key) AS matched FROM both_ GROUP BY
 SELECT source, target, matched, "of", round(matched / "of", 6) AS fraction FROM m JOIN sizes USING (source) ORDER BY fraction DESC, source, target LIMIT 60"""
 
 CONTAM = f"""{DOCS},
-items AS (SELECT item_id, list_distinct({grams('w', 8)}) AS g FROM (SELECT item_id, {words('text')} AS w FROM benchmark) WHERE len(w) > 0),
-index AS (SELECT item_id, len(g) AS grams, unnest(g) AS gram FROM items),
-doc_grams AS (SELECT doc_id, unnest(list_distinct({grams('w', 8)})) AS gram FROM (SELECT doc_id, {words('text')} AS w FROM docs) WHERE len(w) > 0),
+item_words AS (SELECT item_id, {words('text')} AS w FROM benchmark),
+items AS (SELECT item_id FROM item_words WHERE len(w) > 0),
+item_grams AS (SELECT DISTINCT item_id, gram FROM ({gram_rows('item_words', 'item_id', 8)})),
+index AS (SELECT item_id, gram, count(*) OVER (PARTITION BY item_id) AS grams FROM item_grams),
+doc_words AS (SELECT doc_id, {words('text')} AS w FROM docs),
+doc_grams AS (SELECT DISTINCT doc_id, gram FROM ({gram_rows('doc_words', 'doc_id', 8)})),
 shared AS (SELECT item_id, grams, doc_id, count(*) AS shared FROM doc_grams JOIN index USING (gram) GROUP BY ALL),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS n FROM shared) WHERE n = 1)"""
 SQL["benchmark_witnesses"] = f"WITH {CONTAM} SELECT 'benchmark' AS benchmark, item_id, doc_id, shared, grams, round(shared / grams, 6) AS coverage FROM best"
