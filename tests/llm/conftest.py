@@ -1,6 +1,5 @@
-import random
-
 import pytest
+from llm_texts import prose
 
 from corpusloom.session import local_session
 
@@ -10,14 +9,6 @@ def spark():
     return local_session(4, "4g", 4)
 
 
-WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
-
-
-def prose(seed: int, n: int) -> str:
-    draw = random.Random(seed)
-    return " ".join(draw.choice(WORDS) + str(draw.randrange(40)) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls in every column, empty and long texts, repeated rows, and columns with names that operators use themselves."""

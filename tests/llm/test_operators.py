@@ -4,7 +4,7 @@ import random
 import re
 
 import pytest
-from conftest import prose
+from llm_texts import prose
 
 from corpusloom.llm import decontam, fingerprint, html_extract, jaccard_join, lang_id, license_scan, secret_scan, spm, substring_dedup, url_filter
 from corpusloom.llm.queries import SPM_MODEL

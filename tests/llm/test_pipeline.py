@@ -3,7 +3,7 @@
 import os
 
 import pytest
-from conftest import prose
+from llm_texts import prose
 
 import corpus_pipeline
 
