@@ -19,6 +19,7 @@ def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8
     """A session on this machine, for tests and benchmarks. A cluster brings its own."""
     build = SparkSession.builder.master(f"local[{cpus}]").appName("corpusloom").config("spark.ui.enabled", "false")
     build = build.config("spark.driver.memory", memory).config("spark.sql.shuffle.partitions", str(partitions))
+    build = build.config("spark.sql.files.maxPartitionBytes", "2m").config("spark.sql.files.openCostInBytes", "512k")  # small tables still use every core
     for k, v in SETTINGS.items():
         build = build.config(k, v)
     spark = build.getOrCreate()
