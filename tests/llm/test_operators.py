@@ -204,6 +204,32 @@ def test_jaccard_join(spark, odd, empty):
     assert jaccard_join.keep_one(empty).count() == 0
 
 
+def test_jaccard_join_in_a_crowd(spark):
+    """Pairs at the threshold share a passage, of which many documents that are like nothing else quote a part."""
+    texts, pairs = [], set()
+    for k in range(4):
+        passage = prose(1000 + k, 300).split()
+        pairs.add((len(texts), len(texts) + 1))
+        texts += [" ".join([*passage, prose(3000 + 2 * k + side, 90)]) for side in (0, 1)]
+        assert brute_pairs(texts[-2:])
+        texts += [" ".join([*passage[c % 60 : 240 + c % 60], prose(5000 + 1000 * k + c, 300)]) for c in range(500)]
+    got = {(r.doc_a, r.doc_b) for r in jaccard_join.jaccard_pairs(docs(spark, texts)).collect()}
+    assert pairs <= got
+
+
+def test_band_links():
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    base = draw.integers(0, 256, (5, 160), dtype=np.uint8)
+    of = draw.integers(0, 5, 60)
+    sketches = np.where(draw.random((60, 160)) < 0.15, draw.integers(0, 256, (60, 160), dtype=np.uint8), base[of])
+    root = np.arange(60)
+    for i, j in zip(*jaccard_join.band_links(sketches, 0.5)):
+        root[root == root[j]] = root[i]
+    assert all((root[i] == root[j]) == (of[i] == of[j]) for i in range(60) for j in range(60))
+
+
 def test_language_id(spark, odd, empty):
     langs = {"xx": "abcdefg", "yy": "hijklmn", "zz": "aeioustr"}
     draw = random.Random(3)
