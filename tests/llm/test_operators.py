@@ -52,6 +52,15 @@ def test_secrets(spark, odd, empty):
     assert secret_scan.redact(odd).exceptAll(odd).count() == 0
 
 
+def test_redaction_takes_whole_secrets(spark):
+    body = "\n".join("Ab3/" * 16 for _ in range(20))
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    token = "eyJ" + "a1" * 400 + ".eyJ" + "b2" * 1000 + "." + "c3" * 200
+    texts = [f"key {pem} end", f"jwt {token} end", f"x-{token} end", f"-----BEGIN PRIVATE KEY-----\n{body}", "eyJ-" * 100_000, 'password = "' + "q7" * 90 + '" end']
+    out = {r.doc_id: r.text for r in secret_scan.redact(docs(spark, texts)).collect()}
+    assert out == {0: "key [SECRET] end", 1: "jwt [SECRET] end", 2: "[SECRET] end", 3: "[SECRET]", 4: texts[4], 5: "[SECRET] end"}
+
+
 def test_fingerprints(spark, odd, empty):
     base = [prose(k, 400) for k in range(10, 16)]
     refs = spark.createDataFrame([(k, t) for k, t in enumerate(base)] + [(None, base[0]), (99, None), (98, "")], "item_id bigint, text string")
