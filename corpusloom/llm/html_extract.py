@@ -35,13 +35,21 @@ _NAMES = frozenset(
 )
 _BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 
-#: Comments, declarations, elements whose content is no text, and tags. What is no tag is text, even a lone `<`. An unended tag is sought for LONGEST characters, so that a page of `<` alone takes linear time.
-LONGEST = 20_000
+#: Comments, declarations, elements whose content is no text, and tags, which end at the next `>` however far it is. What is no tag is text, even a lone `<`.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|textarea|noscript|svg)\b[^>]{0,N}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)\b(?:[^>\"']|\"[^\"<>]{0,N}\"|'[^'<>]{0,N}'){0,N}>|<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^>]{0,N}>|<[!?/][^>]{0,N}>".replace("N", str(LONGEST)),
+    r"<!--.*?(?:-->|\Z)|<(script|style|template|textarea|noscript|svg)\b[^>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^>]*+>|<[!?/][^>]*+>",
     re.S | re.I,
 )
 
+
+def _ended(page: str) -> str:
+    """The page without the `<` that no `>` follows, so that none is sought twice: a page of `<` alone takes linear time. Places stay the same; an unended comment stays."""
+    last = page.rfind(">") + 1
+    comment = page.find("<!--", last)
+    comment = len(page) if comment < 0 else comment
+    return page[:last] + page[last:comment].replace("<", " ") + page[comment:]
+
+
 WORD, COMMENT = "word", "!"
 #: Scores where no page is labelled, and of tags that no labelled page has.
 DEFAULT = {WORD: 300, COMMENT: -3000}
@@ -65,14 +73,14 @@ def tokens(page: str) -> tuple[list[str], list[int], list[int], list[int]]:
             starts.append(done)
             ends.append(to)
 
-    for m in _TAG.finditer(page):
+    for m in _TAG.finditer(_ended(page)):
         s = m.start()
         if s > done:
             text(s)
-        raw, slash, name, slash_, name_ = m.groups()
-        if name or name_:
-            name = (name or name_).lower()
-            name = (slash or slash_ or "") + (name if name in _NAMES else "other")
+        raw, slash, name = m.groups()
+        if name:
+            name = name.lower()
+            name = slash + (name if name in _NAMES else "other")
         else:
             name = raw.lower() if raw else COMMENT
         names.append(name)

@@ -279,3 +279,13 @@ def test_html_extract(spark):
         assert content in rows[k].text.replace("\n", " ") and "Home" not in rows[k].text and "var a" not in rows[k].text
     assert "Head & line" in rows[0].text and rows[4].text == "no tags at all" and rows[3].text == ""
     assert html_extract.extract_pages(table.limit(0)).count() == 0
+
+
+def test_html_tags_of_any_length():
+    long = '<img src="data:image/png;base64,' + "Ab3/ " * 40_000 + '">'
+    page = f"one {long} two"
+    assert html_extract.tokens(page) == (["word", "img", "word"], [1, 0, 1], [0, 4, 4 + len(long)], [4, 4 + len(long), len(page)])
+    assert html_extract.extract(page, html_extract.DEFAULT)[0] in ("one", "two")
+    for part in ("<", "<a ", '<a "', "<!", "<script ", "</"):  # nothing ends: linear time
+        assert "a" not in html_extract.tokens(part * 200_000)[0]
+    assert html_extract.tokens("x <b <!-- y <i")[0] == ["word", "!"]
