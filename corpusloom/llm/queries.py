@@ -50,7 +50,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_pairs(_documents(spark, sf_dir))
+    return jaccard_join.jaccard_classes(_documents(spark, sf_dir))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,6 +189,14 @@ def brute_pairs(texts, n=3, threshold=0.6):
     return {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(sets)) for b in range(a + 1, len(sets)) if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold}
 
 
+def brute_classes(pairs):
+    root = {d: d for p in pairs for d in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return {d: (r, sum(d in p for p in pairs)) for d, r in root.items()}
+
+
 def test_jaccard_join(spark, odd, empty):
     draw = random.Random(4)
     texts = []
@@ -198,19 +206,43 @@ def test_jaccard_join(spark, odd, empty):
         for _ in range(draw.randrange(5)):
             texts.append(" ".join(w if draw.random() > draw.choice((0, 0.02, 0.06, 0.1)) else "other" for w in base))
     texts += ["", "one", "one", "one two"]
+    texts += [texts[0]] * 5 + [texts[3].upper()]
     table = docs(spark, texts)
     want = brute_pairs(texts)
+    known = {r.doc_id: r.representative for r in jaccard_join.members(table).collect()}
+    assert set(known) == {d for d, t in enumerate(texts) if words(t)} and all(want[min(d, r), max(d, r)] == 1 for d, r in known.items() if d != r)
+    between = {p: s for p, s in want.items() if all(known[d] == d for d in p)}
     got = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard_join.jaccard_pairs(table).collect()}
-    assert set(got) <= set(want) and len(got) >= 0.98 * len(want) and len(want) > 50
-    assert all(abs(got[p] - want[p]) < 1e-12 for p in got)
+    assert set(got) <= set(between) and len(got) >= 0.98 * len(between) and len(between) > 50
+    assert all(abs(got[p] - between[p]) < 1e-12 for p in got)
+    found = {p for p in want if known[p[0]] == known[p[1]] or tuple(sorted((known[p[0]], known[p[1]]))) in got}
+    assert len(found) >= 0.98 * len(want)
+    rows = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_classes(table).collect()}
+    assert rows == brute_classes(found)
     kept = {r.doc_id for r in jaccard_join.keep_one(table).collect()}
-    assert not any(a in kept and b in kept for a, b in got)
-    assert {d for d in range(len(texts)) if not any(d in p for p in got)} <= kept
-    pairs = jaccard_join.jaccard_pairs(odd).collect()
-    assert [(r.doc_a, r.doc_b) for r in pairs] == [(5, 6)]
+    assert kept == {d for d in range(len(texts)) if d not in rows or rows[d][0] == d}
+    assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_classes(odd).collect()} == {5: (5, 1), 6: (5, 1)}
     one = jaccard_join.keep_one(odd)
     assert one.columns == odd.columns and sorted((r.doc_id is None, r.doc_id) for r in one.collect()) == [(False, d) for d in (1, 2, 3, 4, 5, 7, 8)] + [(True, None)]
-    assert jaccard_join.keep_one(empty).count() == 0
+    assert jaccard_join.keep_one(empty).count() == 0 and jaccard_join.jaccard_classes(empty).count() == 0
+
+
+def test_jaccard_join_in_parts(spark, monkeypatch):
+    """Bands and blocks that are cut into many parts give the same."""
+    base = prose(5, 120).split()
+    texts = [" ".join(w if (k * 31 + i) % 40 else f"x{k}" for i, w in enumerate(base)) for k in range(60)] + [prose(k, 50) for k in range(20)]
+    whole = sorted(jaccard_join.jaccard_classes(docs(spark, texts)).collect())
+    assert {r.doc_id: (r.class_id, r.n_links) for r in whole} == brute_classes(brute_pairs(texts))
+    monkeypatch.setattr(jaccard_join, "PART_DOCS", 7)
+    assert sorted(jaccard_join.jaccard_classes(docs(spark, texts)).collect()) == whole
+
+
+def test_jaccard_join_of_repeated_ids(spark):
+    """The text of least hash counts, in whatever order the rows come."""
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(1, a), (1, b), (2, a), (3, b), (1, a)]
+    out = [sorted(jaccard_join.jaccard_classes(spark.createDataFrame(x, "doc_id bigint, text string").repartition(3)).collect()) for x in (rows, rows[::-1])]
+    assert out[0] == out[1] and len(out[0]) == 2 and out[0][0] == (1, 1, 1)
 
 
 def test_jaccard_join_in_a_crowd(spark):
