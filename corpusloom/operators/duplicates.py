@@ -5,15 +5,18 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import kernels
 from corpusloom.functions import text as T
 from corpusloom.operators.components import components
+from corpusloom.operators.groups import PART, bounds, by_group, meeting, part_of
+from corpusloom.workspace import Workspace
 
 PRIME = (1 << 31) - 1
 
@@ -32,8 +35,8 @@ class Preset:
 
 
 PRESETS = {"strict": Preset(8, 13, 0.85), "fineweb": Preset(14, 8, 0.75), "hf-neardedup": Preset(32, 8, 0.70)}
-#: Words in a shingle; shortest text; members of a bucket that are compared.
-SHINGLE, SHORTEST, BUCKET_CAP = 5, 40, 200
+#: Words in a shingle; shortest text.
+SHINGLE, SHORTEST = 5, 40
 
 
 def coefficients(lanes: int, seed: int = 42) -> list[tuple[int, int]]:
@@ -53,63 +56,129 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     return a.join(b, "dataset", "left").select("dataset", "first_seen", "copies", "clusters", "largest", "wasted_tokens", F.coalesce("loose_copies", F.lit(0)).alias("loose_copies"))
 
 
-def _sign(preset: Preset):
-    """(doc_id, dataset, exact, hashes) to (doc_id, dataset, exact, signature): the least value of every lane over the hashes, a batch at a time."""
-    own = np.array(coefficients(preset.lanes), np.int64)
+def sign(texts: list[str], preset: Preset, shingle: int) -> np.ndarray:
+    """Signatures of texts whose words single spaces separate, none of them empty: the least value of every lane over the hashes of the shingles."""
+    values: list[bytes] = []
+    at: list[int] = []
+    for t in texts:
+        at.append(len(values))
+        raw = t.encode()
+        gaps = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
+        ends = [*gaps.tolist(), len(raw)][shingle - 1 :] or [len(raw)]
+        values += {md5(raw[s:e]).digest()[:8] for s, e in zip([0, *(gaps + 1).tolist()], ends)}
+    p = np.uint64(PRIME)
+    flat = (np.frombuffer(b"".join(values), ">u8") >> np.uint64(4)).astype(np.uint64) % p
+    out = np.empty((len(texts), preset.lanes), np.int32)
+    for k, (a, b) in enumerate(coefficients(preset.lanes)):
+        v = flat * np.uint64(a) + np.uint64(b)
+        v = (v & p) + (v >> np.uint64(31))  # modulo 2^31 - 1 but for one p, as v < p^2
+        out[:, k] = np.minimum.reduceat(np.minimum(v, v - p), at)
+    return out
+
+
+def _rows(matrix: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binaries."""
+    raw = np.ascontiguousarray(matrix)
+    width = raw.shape[1] * raw.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(np.arange(0, width * len(raw) + 1, width, dtype=np.int32)), pa.py_buffer(raw)])
+
+
+def _sign(preset: Preset, shingle: int):
+    """(doc_id, dataset, exact, words) to SIGNED."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(3)
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64) % PRIME
-            at = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False))])[:-1].astype(np.int64)
-            out = np.zeros((batch.num_rows, len(own)), np.int64)
-            if batch.num_rows:
-                for k, (a, b) in enumerate(own):
-                    out[:, k] = np.minimum.reduceat((flat * a + b) % PRIME, at)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, len(own), dtype=np.int32)), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["doc_id", "dataset", "exact", "signature"])
+            for s, e in kernels.runs(batch.column(3)):
+                part = batch.slice(s, e - s)
+                signature = sign(part.column(3).to_pylist(), preset, shingle)
+                key = [md5(x.tobytes()).digest() for x in signature]
+                lanes = signature.astype(np.uint64).reshape(len(key), preset.bands, preset.rows)
+                band = np.broadcast_to(np.arange(preset.bands, dtype=np.uint64), lanes.shape[:2])
+                for r in range(preset.rows):
+                    band = kernels.mix(band * np.uint64(0xD6E8FEB86659FD93) + lanes[:, :, r])
+                lists = pa.ListArray.from_arrays(np.arange(0, band.size + 1, preset.bands, dtype=np.int32), pa.array(band.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(key, pa.binary()), lists, _rows(signature)], ["doc_id", "dataset", "exact", "key", "bands", "signature"])
 
     return run
 
 
-def signatures(docs: DataFrame, preset: Preset = PRESETS["fineweb"], shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, dataset, exact, signature) of texts of 40 characters and more that have a word; exact is the hash of the text without regard to case and white space."""
-    seen = docs.where(F.length("text") >= SHORTEST).select("doc_id", "dataset", T.hash60(T.one_spaced(F.lower("text"))).alias("exact"), T.gram_hashes(T.words(F.col("text")), shingle).alias("g"))
-    return seen.where(F.size("g") > 0).mapInArrow(_sign(preset), "doc_id bigint, dataset string, exact bigint, signature array<bigint>")
-
-
-def near_pairs(signed: DataFrame, preset: Preset = PRESETS["fineweb"], cap: int = BUCKET_CAP) -> DataFrame:
-    """Pairs (a < b, jaccard) that share a band and agree in enough lanes. Only a bucket's first `cap` members by key meet, so a bucket costs at most cap^2 / 2 pairs; buckets travel as keys, signatures join the distinct pairs."""
-    keys = F.transform(F.sequence(F.lit(0), F.lit(preset.bands - 1)), lambda b: T.hash60(F.concat_ws(",", b, F.array_join(F.slice("signature", b * preset.rows + 1, preset.rows), ","))))
-    bands = signed.select("doc_id", F.explode(keys).alias("band"))
-    few = bands.withColumn("n", F.row_number().over(Window.partitionBy("band").orderBy("doc_id"))).where(F.col("n") <= cap).select("band", "doc_id")
-    members = few.groupBy("band").agg(F.array_sort(F.collect_list("doc_id")).alias("ids")).where(F.size("ids") > 1)
-    ends = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    pairs = members.select(F.explode(ends).alias("p")).select("p.a", "p.b").where("a < b").distinct()
-    one = signed.select("doc_id", "signature")
-    met = pairs.join(one.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa")), "a").join(one.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb")), "b")
-    same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return met.select("a", "b", (same / float(preset.lanes)).alias("jaccard")).where(F.col("jaccard") >= preset.threshold)
-
-
-def near_clusters(signed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Clusters of near duplicates with two distinct texts and more: (cluster, members, distinct_texts). Exact copies don't count as near duplicates."""
-    own = components(pairs).withColumnRenamed("key", "doc_id")
-    met = signed.select("doc_id", "exact").join(own, "doc_id")
-    return met.groupBy("cluster").agg(F.count("*").alias("members"), F.count_distinct("exact").alias("distinct_texts")).where("distinct_texts > 1")
-
-
-def near_summary(signed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(total, clusters, near_duplicates, largest): signed records, and what near_clusters counts beyond one text each."""
-    found = near_clusters(signed, pairs).agg(F.count("*").alias("clusters"), F.coalesce(F.sum(F.col("distinct_texts") - 1), F.lit(0)).alias("near_duplicates"), F.coalesce(F.max("distinct_texts"), F.lit(0)).alias("largest"))
-    return signed.agg(F.count("*").alias("total")).crossJoin(found)
-
-
-def dataset_overlap(signed: DataFrame, pairs: DataFrame, most: int = 60) -> DataFrame:
-    """The worst `most` directed overlaps between datasets: (source, target, matched, of, fraction), matched being the source's records with a near duplicate in the target."""
-    where = signed.select("doc_id", "dataset")
-    met = pairs.join(where.select(F.col("doc_id").alias("a"), F.col("dataset").alias("da")), "a").join(where.select(F.col("doc_id").alias("b"), F.col("dataset").alias("db")), "b").where("da <> db")
-    both = met.select(F.explode(F.array(F.struct(F.col("da").alias("source"), F.col("db").alias("target"), F.col("a").alias("key")), F.struct(F.col("db").alias("source"), F.col("da").alias("target"), F.col("b").alias("key")))).alias("e")).select("e.*")
-    sizes = where.groupBy(F.col("dataset").alias("source")).agg(F.count("*").alias("of"))
-    out = both.groupBy("source", "target").agg(F.count_distinct("key").alias("matched")).join(sizes, "source")
-    return out.select("source", "target", "matched", "of", F.round(F.col("matched") / F.col("of"), 6).alias("fraction")).orderBy(F.desc("fraction"), "source", "target").limit(most)
+SIGNED = "doc_id bigint, dataset string, exact bigint, key binary, bands array<bigint>, signature binary"
+
+
+class Near:
+    """Near duplicates of docs: what is signed, who represents whom, and which representatives are alike. Signatures are made once and saved.
+
+    Documents with equal signatures are a class, represented by the least doc_id; classes,
+    not their members, meet in bands. A band of any size is compared whole, in parts.
+    """
+
+    def __init__(self, docs: DataFrame, preset: Preset = PRESETS["fineweb"], shingle: int = SHINGLE):
+        self.preset = preset
+        self.work = work = Workspace(docs.sparkSession)
+        seen = docs.where(F.length("text") >= SHORTEST).select("doc_id", "dataset", T.hash60(T.one_spaced(F.lower("text"))).alias("exact"), T.folded(F.col("text")).alias("words")).where("words <> ''")
+        #: (doc_id, dataset, exact, key, bands, signature) of texts of 40 characters and more that have a word; exact is the hash of the text without regard to case and white space, key that of the signature.
+        self.signed = work.save(seen.mapInArrow(_sign(preset, shingle), SIGNED), "signed")
+        least = F.min_by(F.struct("doc_id", "bands", "signature"), "doc_id").alias("k")
+        self.classes = work.save(self.signed.groupBy("key").agg(least).select("key", F.col("k.doc_id").alias("rep"), "k.bands", "k.signature"), "classes")
+        self.pairs = work.save(self._pairs(), "pairs")
+
+    def _pairs(self) -> DataFrame:
+        bands = self.classes.select("rep", F.explode("bands").alias("band"))
+        size = bands.groupBy("band").agg(F.count("*").alias("docs")).where("docs > 1")
+        member = bands.join(size, "band").select("rep", "band", *part_of(F.col("docs"), "rep", PART))
+        rows = member.join(self.classes.select("rep", "signature"), "rep").select("band", F.explode(meeting(F.col("parts"), F.col("part"))).alias("t"), "part", "rep", "signature")
+        rows = rows.select("band", "t.x", "t.y", "part", "rep", "signature").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+        return rows.mapInArrow(by_group(3, _compare(self.preset)), "a bigint, b bigint, jaccard double").distinct()
+
+    def members(self) -> DataFrame:
+        """Rows (doc_id, representative) of all signed documents."""
+        return self.signed.join(self.classes.select("key", F.col("rep").alias("representative")), "key").select("doc_id", "representative")
+
+    def _owned(self, columns: list[str]) -> DataFrame:
+        """Signed documents with the cluster that their class is connected with, its own where it has no partner."""
+        own = components(self.pairs).withColumnsRenamed({"key": "rep"})
+        cluster = self.classes.select("key", "rep").join(own, "rep", "left").select("key", "rep", F.coalesce("cluster", "rep").alias("cluster"))
+        return self.signed.select("key", *columns).join(cluster, "key")
+
+    def clusters(self) -> DataFrame:
+        """Clusters of near duplicates with two distinct texts and more: (cluster, members, distinct_texts). Exact copies don't count as near duplicates."""
+        return self._owned(["exact"]).groupBy("cluster").agg(F.count("*").alias("members"), F.count_distinct("exact").alias("distinct_texts")).where("distinct_texts > 1")
+
+    def summary(self) -> DataFrame:
+        """(total, clusters, near_duplicates, largest): signed records, and what clusters() counts beyond one text each."""
+        found = self.clusters().agg(F.count("*").alias("clusters"), F.coalesce(F.sum(F.col("distinct_texts") - 1), F.lit(0)).alias("near_duplicates"), F.coalesce(F.max("distinct_texts"), F.lit(0)).alias("largest"))
+        return self.signed.agg(F.count("*").alias("total")).crossJoin(found)
+
+    def overlap(self, most: int = 60) -> DataFrame:
+        """The worst `most` directed overlaps between datasets: (source, target, matched, of, fraction), matched being the source's records with a near duplicate in the target."""
+        each = self.signed.select("key", "dataset").join(self.classes.select("key", "rep"), "key").groupBy("rep", "dataset").agg(F.count("*").alias("n"))
+        both = self.pairs.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("b").alias("to")), F.struct(F.col("b").alias("rep"), F.col("a").alias("to")))).alias("e")).select("e.*")
+        seen = both.join(each.select(F.col("rep").alias("to"), F.col("dataset").alias("target")), "to").select("rep", "target").unionByName(each.select("rep", F.col("dataset").alias("target"))).distinct()
+        sizes = each.groupBy(F.col("dataset").alias("source")).agg(F.sum("n").alias("of"))
+        met = each.withColumnRenamed("dataset", "source").join(seen, "rep").where("source <> target").groupBy("source", "target").agg(F.sum("n").alias("matched")).join(sizes, "source")
+        return met.select("source", "target", "matched", "of", F.round(F.col("matched") / F.col("of"), 6).alias("fraction")).orderBy(F.desc("fraction"), "source", "target").limit(most)
+
+
+def _compare(preset: Preset):
+    """For rows (band, x, y, part, rep, signature): pairs (a < b, jaccard) that agree in enough lanes."""
+
+    def one(ids: np.ndarray, own: np.ndarray, part: np.ndarray | None) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        a, b, shares = [], [], []
+        for k in range(len(ids) - 1):
+            share = (own[k + 1 :] == own[k]).sum(axis=1) / float(preset.lanes)
+            near = np.flatnonzero((share >= preset.threshold) & (True if part is None else part[k + 1 :] != part[k]))
+            if len(near):
+                a.append(np.minimum(ids[k + 1 + near], ids[k]))
+                b.append(np.maximum(ids[k + 1 + near], ids[k]))
+                shares.append(share[near])
+        return a, b, shares
+
+    def each(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, part, x, y = (table.column(c).to_numpy() for c in ("rep", "part", "x", "y"))
+        own = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.int32).reshape(len(ids), -1)
+        for s, e in zip(*bounds(table, 3)):
+            a, b, shares = one(ids[s:e], own[s:e], part[s:e] if x[s] != y[s] else None)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, b, shares)], ["a", "b", "jaccard"])
+
+    return each

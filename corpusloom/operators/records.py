@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import patterns as P
 from corpusloom.functions import text as T
-from corpusloom.functions.language import detect, script, script_mismatch
+from corpusloom.functions.language import detect, script_mismatch
 
 
 def _n(condition: Column, name: str) -> Column:
@@ -123,7 +123,7 @@ def response_length_cap(convs: DataFrame, least: int = 200, top: int = 200, widt
 
 def languages(docs: DataFrame) -> DataFrame:
     """(doc_id, dataset, lang, confidence, script, chars) of every text."""
-    return docs.where("text IS NOT NULL").select("doc_id", "dataset", F.length("text").alias("chars"), detect(F.col("text")).alias("d"), script(F.col("text")).alias("script")).select("doc_id", "dataset", "d.lang", "d.confidence", "script", "chars")
+    return docs.where("text IS NOT NULL").select("doc_id", "dataset", F.length("text").alias("chars"), detect(F.col("text")).alias("d")).select("doc_id", "dataset", "d.*", "chars")
 
 
 def language_composition(docs: DataFrame, shortest: int = 40) -> DataFrame:

@@ -11,7 +11,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import atlas, budget, contamination, duplicates, records, vocabulary
 from corpusloom.sources import extract
 from corpusloom.sources import records as layouts
-from corpusloom.sources.tables import conversations, documents, table
+from corpusloom.sources.tables import conversations, documents, spread, table
 from corpusloom.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,31 +63,34 @@ def licences_missing(spark: SparkSession, folder: str) -> DataFrame:
     return records.licences_missing(documents(spark, folder).groupBy("dataset").agg(named))
 
 
-def _signed(spark: SparkSession, folder: str) -> DataFrame:
-    return duplicates.signatures(documents(spark, folder))
+def _near(spark: SparkSession, folder: str) -> duplicates.Near:
+    return duplicates.Near(documents(spark, folder))
 
 
 @query
 def near_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return duplicates.near_pairs(_signed(spark, folder)).withColumn("jaccard", F.round("jaccard", 6))
+    """Pairs of class representatives; near_members gives the classes."""
+    return _near(spark, folder).pairs.withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query
+def near_members(spark: SparkSession, folder: str) -> DataFrame:
+    return _near(spark, folder).members()
 
 
 @query
 def near_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    signed = _signed(spark, folder)
-    return duplicates.near_clusters(signed, duplicates.near_pairs(signed))
+    return _near(spark, folder).clusters()
 
 
 @query
 def near_summary(spark: SparkSession, folder: str) -> DataFrame:
-    signed = _signed(spark, folder)
-    return duplicates.near_summary(signed, duplicates.near_pairs(signed))
+    return _near(spark, folder).summary()
 
 
 @query
 def dataset_overlap(spark: SparkSession, folder: str) -> DataFrame:
-    signed = _signed(spark, folder)
-    return duplicates.dataset_overlap(signed, duplicates.near_pairs(signed))
+    return _near(spark, folder).overlap()
 
 
 def _items(spark: SparkSession, folder: str) -> DataFrame:
@@ -212,7 +215,7 @@ def semantic_keepers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def html_text(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").select("page_id", T.html_stripped(F.col("html")).alias("text"))
+    return spread(table(spark, folder, "pages")).select("page_id", T.html_stripped(F.col("html")).alias("text"))
 
 
 @query

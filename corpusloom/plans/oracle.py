@@ -161,7 +161,7 @@ WITH {TURNS}, m AS (SELECT array_to_string(list_transform(turns, lambda t: '<|im
   coalesce(list_sum(list_transform(list_filter(turns, lambda t: t.role = 'assistant'), lambda t: length(t.content) + 10)), 0) AS n FROM convs)
 SELECT count(*) AS total, CAST(count_if(n = 0) AS BIGINT) AS untrainable, round(sum(n) / sum(length(r)), 6) AS share, CAST(count_if(strpos(r, '<|im_start|>assistant' || chr(10)) > 8192 AND n > 0) AS BIGINT) AS answer_lost FROM m"""
 
-_head = strip("CASE WHEN length(text) > 2000 THEN substr(text, 1, 2064) ELSE text END")
+_head = strip("text")
 _scripts = {n: f"length(regexp_replace(p, {Q(rf'[^{r}]|[^\p{{L}}]')}, '', 'g'))" for n, r in SCRIPTS.items()}
 _other = f"length(regexp_replace(p, {Q(r'[^\p{L}]|[\x{10000}-\x{10ffff}]')}, '', 'g')) - ({' + '.join(_scripts.values())})"
 _script = ", ".join(f"{{'n': CAST({e} AS BIGINT), 'k': {-k}, 'name': '{n}'}}" for k, (n, e) in enumerate([*_scripts.items(), ("Other", _other)]))
@@ -176,7 +176,7 @@ def _score(letters: str, common: str) -> str:
 _lang = ", ".join(f"{{'score': CAST({_score(*v)} AS DOUBLE), 'k': {-k}, 'lang': '{x}'}}" for k, (x, v) in enumerate(PROFILES.items()))
 LANGS = f"""{DOCS},
 heads AS (SELECT doc_id, dataset, length(text) AS chars, {_head} AS h FROM docs WHERE text IS NOT NULL),
-lows AS (SELECT *, nfc_normalize(lower(h)) AS low, ' ' || nfc_normalize(lower(h)) || ' ' AS pad, substr(h, 1, 2000) AS p FROM heads),
+lows AS (SELECT *, nfc_normalize(lower(h)) AS low, ' ' || nfc_normalize(lower(h)) || ' ' AS pad, h AS p FROM heads),
 bests AS (SELECT doc_id, dataset, chars, h, list_max([{_lang}]) AS b, list_max([{_script}]) AS s FROM lows),
 langs AS (SELECT doc_id, dataset, chars, CASE WHEN length(h) < 12 OR b.score <= 0.15 OR least(b.score, 0.75) < 0.30 THEN 'unknown' ELSE b.lang END AS lang,
   CASE WHEN length(h) < 12 THEN 0.0 WHEN b.score <= 0.15 THEN b.score ELSE least(b.score, 0.75) END AS confidence, CASE WHEN s.n > 0 THEN s.name ELSE 'None' END AS script FROM bests)"""
@@ -220,22 +220,25 @@ shingles AS (SELECT DISTINCT doc_id, {hash60('gram')} % {PRIME} AS x FROM ({gram
 lanes(lane, a, b) AS (VALUES {_lanes}),
 least_ AS (SELECT doc_id, lane, min((CAST(a AS BIGINT) * x + b) % {PRIME}) AS m FROM shingles, lanes GROUP BY doc_id, lane),
 signed AS (SELECT doc_id, dataset, exact, signature FROM (SELECT doc_id, list(m ORDER BY lane) AS signature FROM least_ GROUP BY doc_id) JOIN kept USING (doc_id)),
-bands AS (SELECT doc_id, {hash60("CAST(b AS VARCHAR) || ',' || array_to_string(signature[b * 8 + 1:b * 8 + 8], ',')")} AS band FROM signed, range({_preset.bands}) r(b)),
-few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY doc_id) AS n FROM bands) WHERE n <= 200),
-candidates AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM few x JOIN few y ON x.band = y.band AND x.doc_id < y.doc_id),
+reps AS (SELECT signature, min(doc_id) AS rep FROM signed GROUP BY signature),
+bands AS (SELECT rep, b, signature[b * {_preset.rows} + 1:b * {_preset.rows} + {_preset.rows}] AS band FROM reps, range({_preset.bands}) r(b)),
+candidates AS (SELECT DISTINCT x.rep AS a, y.rep AS b FROM bands x JOIN bands y ON x.b = y.b AND x.band = y.band AND x.rep < y.rep),
 pairs AS (SELECT a, b, jaccard FROM (SELECT a, b, list_sum(list_transform(list_zip(x.signature, y.signature), lambda z: CAST(z[1] = z[2] AS INTEGER))) / {float(_preset.lanes)} AS jaccard
-  FROM candidates JOIN signed x ON x.doc_id = a JOIN signed y ON y.doc_id = b) WHERE jaccard >= {_preset.threshold})"""
+  FROM candidates JOIN reps x ON x.rep = a JOIN reps y ON y.rep = b) WHERE jaccard >= {_preset.threshold}),
+every AS (SELECT a, b FROM pairs UNION ALL SELECT rep, rep FROM reps),
+met AS (SELECT p.doc_id AS a, q.doc_id AS b FROM every JOIN reps x ON x.rep = a JOIN reps y ON y.rep = b JOIN signed p ON p.signature = x.signature JOIN signed q ON q.signature = y.signature WHERE a <> b OR p.doc_id < q.doc_id)"""
 CLUSTERS = f"""{NEAR},
-edges AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs),
+edges AS (SELECT a AS x, b AS y FROM met UNION SELECT b, a FROM met),
 reach AS (SELECT x, x AS root FROM edges UNION SELECT e.y, r.root FROM reach r JOIN edges e ON e.x = r.x WHERE r.root < e.y),
 own AS (SELECT x AS doc_id, min(root) AS cluster FROM reach GROUP BY x),
 clusters AS (SELECT cluster, count(*) AS members, count(DISTINCT exact) AS distinct_texts FROM own JOIN signed USING (doc_id) GROUP BY cluster HAVING count(DISTINCT exact) > 1)"""
+SQL["near_members"] = f"WITH {NEAR} SELECT doc_id, rep AS representative FROM signed JOIN reps USING (signature)"
 SQL["near_pairs"] = f"WITH {NEAR} SELECT a, b, round(jaccard, 6) AS jaccard FROM pairs"
 SQL["near_clusters"] = f"WITH RECURSIVE {CLUSTERS} SELECT * FROM clusters"
 SQL["near_summary"] = f"WITH RECURSIVE {CLUSTERS} SELECT (SELECT count(*) FROM signed) AS total, count(*) AS clusters, CAST(coalesce(sum(distinct_texts - 1), 0) AS BIGINT) AS near_duplicates, coalesce(max(distinct_texts), 0) AS largest FROM clusters"
 SQL["dataset_overlap"] = f"""
-WITH {NEAR}, met AS (SELECT a, b, x.dataset AS da, y.dataset AS db FROM pairs JOIN signed x ON x.doc_id = a JOIN signed y ON y.doc_id = b WHERE x.dataset <> y.dataset),
-both_ AS (SELECT da AS source, db AS target, a AS key FROM met UNION ALL SELECT db, da, b FROM met), sizes AS (SELECT dataset AS source, count(*) AS "of" FROM signed GROUP BY 1),
+WITH {NEAR}, apart AS (SELECT a, b, x.dataset AS da, y.dataset AS db FROM met JOIN signed x ON x.doc_id = a JOIN signed y ON y.doc_id = b WHERE x.dataset <> y.dataset),
+both_ AS (SELECT da AS source, db AS target, a AS key FROM apart UNION ALL SELECT db, da, b FROM apart), sizes AS (SELECT dataset AS source, count(*) AS "of" FROM signed GROUP BY 1),
 m AS (SELECT source, target, count(DISTINCT key) AS matched FROM both_ GROUP BY 1, 2)
 SELECT source, target, matched, "of", round(matched / "of", 6) AS fraction FROM m JOIN sizes USING (source) ORDER BY fraction DESC, source, target LIMIT 60"""
 
@@ -305,7 +308,7 @@ for _e, _r in ((r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", r"\1")
     _md = f"regexp_replace({_md}, {Q(_e)}, {Q(_r)}, 'g')"
 SQL["markdown_text"] = f"SELECT doc_id, {_md} AS text FROM documents"
 SQL["formats"] = f"""
-WITH c AS (SELECT ltrim(substr(html, 1, 4000)) AS h FROM pages UNION ALL SELECT ltrim(substr(text, 1, 4000)) FROM documents)
+WITH c AS (SELECT ltrim(html) AS h FROM pages UNION ALL SELECT ltrim(text) FROM documents)
 SELECT CASE WHEN {matches('h', '(?i)^(<!doctype html|<html)')} THEN 'html' WHEN {matches('h', r'^\{[^\n]*\}\s*\n\s*\{')} THEN 'jsonl' WHEN {matches('h', r'^[\[{]')} THEN 'json' WHEN {matches('h', r'(?m)^#{1,6} \S')} THEN 'markdown' ELSE 'plain' END AS format, count(*) AS files FROM c GROUP BY 1"""
 SQL["event_windows"] = "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 SQL["stream_exact_duplicates"] = "SELECT count(DISTINCT text) AS distinct_texts FROM documents WHERE text IS NOT NULL"

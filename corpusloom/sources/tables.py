@@ -8,13 +8,23 @@ from pyspark.sql import functions as F
 from corpusloom.functions.patterns import canonical_role
 
 
+#: A table of fewer bytes of files may lie in one row group, which one task reads; its rows are then dealt out to all cores.
+SMALL_BYTES = 64 << 20
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The same rows, dealt out to all cores if the files are small: at most SMALL_BYTES are shuffled. Larger tables have row groups enough and stay where they are."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else rows
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, dataset, text) of the documents table; doc_id is the corpus order."""
-    return table(spark, folder, "documents").select("doc_id", F.col("source").alias("dataset"), "text")
+    return spread(table(spark, folder, "documents").select("doc_id", F.col("source").alias("dataset"), "text"))
 
 
 def joined(turns: Column, keep) -> Column:

@@ -29,25 +29,37 @@ def test_components(spark):
         x, y = sorted((find(a), find(b)))
         root[y] = x
     want = {x: find(x) for x in {k for p in pairs if p[0] != p[1] for k in p}}
-    assert {r.key: r.cluster for r in components.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()} == want
+    table = spark.createDataFrame(pairs, "a bigint, b bigint")
+    for few in (components.FEW, 0):
+        assert {r.key: r.cluster for r in components.components(table, few).collect()} == want
+    assert components.components(table.limit(0)).count() == 0
 
 
 def test_near_duplicates_and_overlap(spark):
     shared = [prose(k, 60) for k in range(20)]
     rows = [("small", t) for t in shared] + [("large", t + " tail") for t in shared] + [("large", prose(1000 + k, 60)) for k in range(180)] + [("other", shared[0])]
     table = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id bigint, dataset string, text string")
-    signed = duplicates.signatures(table)
-    pairs = duplicates.near_pairs(signed)
-    s = duplicates.near_summary(signed, pairs).first()
+    near = duplicates.Near(table)
+    s = near.summary().first()
     assert (s.total, s.clusters, s.near_duplicates, s.largest) == (221, 20, 20, 2)
-    over = {(r.source, r.target): r.fraction for r in duplicates.dataset_overlap(signed, pairs).collect()}
-    assert over["small", "large"] > 0.9 and over["large", "small"] < 0.2
-
-
-def test_bucket_cap(spark):
-    table = spark.createDataFrame([(k, "d", prose(1, 30)) for k in range(300)], "doc_id bigint, dataset string, text string")
-    signed = duplicates.signatures(table)
-    assert duplicates.near_pairs(signed).count() == 200 * 199 // 2 and duplicates.near_pairs(signed, cap=10).count() == 45
+    over = {(r.source, r.target): r.fraction for r in near.overlap().collect()}
+    assert over["small", "large"] > 0.9 and over["large", "small"] < 0.2 and over["other", "small"] == 1
+
+
+def test_near_duplicates_of_any_number(spark, monkeypatch):
+    """Copies are one class; a band of any size is compared whole, in parts of whatever size."""
+    base = prose(1, 200).split()
+    texts = [" ".join(base)] * 250 + [" ".join([*base[:-1], f"end{k}"]) for k in range(40)]
+    table = spark.createDataFrame([(k, "d", t) for k, t in enumerate(texts)], "doc_id bigint, dataset string, text string")
+    near = duplicates.Near(table)
+    assert near.members().where("representative = 0").count() >= 250
+    reps = [r.representative for r in near.members().select("representative").distinct().collect()]
+    found = sorted(near.pairs.collect())
+    assert len(found) >= 0.95 * len(reps) * (len(reps) - 1) / 2 and len(reps) > 5
+    s = near.summary().first()
+    assert (s.clusters, s.near_duplicates, s.largest) == (1, 40, 41)
+    monkeypatch.setattr(duplicates, "PART", 3)
+    assert sorted(duplicates.Near(table).pairs.collect()) == found
 
 
 def test_contamination(spark):
@@ -55,6 +67,7 @@ def test_contamination(spark):
     table = spark.createDataFrame([(0, prose(50, 20) + " " + prose(0, 30)), (1, " ".join(prose(1, 30).split()[:12])), (2, None)], "doc_id bigint, text string")
     r = contamination.contamination(table, items).first()
     assert (r.items, r.contaminated, r.flagged) == (10, 1, True)
+    assert sorted(contamination.witnesses(table, items).collect()) == sorted(contamination.witnesses(table, items, send_rows=0).collect())
 
 
 def test_atlas(spark):

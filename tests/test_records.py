@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import patterns as P
 from corpusloom.functions import text as T
-from corpusloom.functions.language import detect, script
+from corpusloom.functions.language import detect, script_of
 from corpusloom.operators import budget, duplicates, records
 from corpusloom.sources.tables import with_turns
 
@@ -86,7 +86,7 @@ def test_language(spark):
     assert value(spark, "the cat and the dog of that house is to be found in it", detect).lang == "en"
     assert value(spark, "der Hund und die Katze, das ist nicht ein Haus für Äpfel, süß", detect).lang == "de"
     assert value(spark, "short", detect).lang == "unknown"
-    assert [value(spark, t, script) for t in ("plain", "привет мир", "漢字かな漢字", "123")] == ["Latin", "Cyrillic", "Han", "None"]
+    assert [script_of(t) for t in ("plain", "привет мир", "漢字かな漢字", "123")] == ["Latin", "Cyrillic", "Han", "None"]
 
 
 def test_text_functions(spark):
