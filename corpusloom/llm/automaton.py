@@ -3,7 +3,8 @@
 The dialect: literals, escapes of single characters, classes, groups, alternation, and
 the quantifiers ? * + {m} {m,n} {m,}. Boundaries (\b) are left out of the automaton, so it
 fires wherever the rule without them matches; the rule itself decides then. A long repeat
-ends a rule's part of the automaton, as its counters would multiply the states.
+ends a rule's part of the automaton, as its counters would multiply the states: what is
+compiled is each rule's beginning, and repeats may be of any length.
 
 All rules together become one NFA (one loop at the start, so a match may begin anywhere),
 subset construction makes it deterministic, partition refinement makes it minimal. The
@@ -119,24 +120,30 @@ def longest(tree) -> int | None:
     return sum(sizes) if kind == "cat" else max(sizes, default=0)
 
 
-#: A rule fires early, when it has come to a class that must repeat at least LONG times, or may up to WIDE, and seen REPEATS of them.
+#: A rule fires early, when it has come to a class that must repeat at least LONG times, or may up to WIDE or without limit, and seen REPEATS of them.
 LONG, WIDE, REPEATS = 8, 32, 3
 
 
 def early(tree) -> tuple[tuple, bool]:
     """The tree as far as its first long repeat, and whether it was cut there."""
-    if tree[0] == "rep" and tree[1][0] == "set" and (tree[2] >= LONG or (tree[3] or 0) >= WIDE):
-        least = min(tree[2], REPEATS)
-        return ("rep", tree[1], least, least), True
-    if tree[0] == "cat":
-        parts = []
-        for part in tree[1]:
-            part, cut = early(part)
-            parts.append(part)
-            if cut:
-                return ("cat", parts), True
-        return ("cat", parts), False
-    return tree, False
+    kind = tree[0]
+    if kind == "rep":
+        _, part, least, most = tree
+        if part[0] == "set" and (least >= LONG or most is None or most >= WIDE):
+            return ("rep", part, min(least, REPEATS), min(least, REPEATS)), True
+        if most is None:  # a group without limit: as far as it must go
+            return ("cat", [early(part)[0]] if least else []), True
+        return tree, False
+    if kind == "set":
+        return tree, False
+    parts, cuts = [], []
+    for part in tree[1]:
+        part, cut = early(part)
+        parts.append(part)
+        cuts.append(cut)
+        if cut and kind == "cat":
+            break
+    return (kind, parts), any(cuts)
 
 
 @dataclass
@@ -228,18 +235,18 @@ def _minimal(table: np.ndarray, accept: list[frozenset]) -> tuple[np.ndarray, np
 
 
 def compile_rules(patterns: list[str], most_states: int = 20_000) -> Automaton:
-    """One automaton for all patterns. A pattern must have a bounded match length."""
-    trees = [_Parser(p).parse() for p in patterns]
+    """One automaton for all patterns, each as far as early() has it. That must be of bounded length; the patterns themselves need not."""
+    trees = [early(_Parser(p).parse())[0] for p in patterns]
     sizes = [longest(t) for t in trees]
     if None in sizes or not trees:
-        raise ValueError("every rule needs a longest match")
+        raise ValueError("a rule's beginning needs a longest match")
     nfa = _Nfa()
     root = nfa.state()
     final = {}
     for k, tree in enumerate(trees):
         begin = nfa.state()
         nfa.empty[root].append(begin)
-        final.setdefault(nfa.add(early(tree)[0], begin, True), set()).add(k)
+        final.setdefault(nfa.add(tree, begin, True), set()).add(k)
 
     # Bytes that every set treats alike are one class.
     sets = sorted({s for own in nfa.moves for s, _ in own}, key=sorted)

@@ -52,13 +52,22 @@ def test_secrets(spark, odd, empty):
     assert secret_scan.redact(odd).exceptAll(odd).count() == 0
 
 
-def test_redaction_takes_whole_secrets(spark):
+def test_secrets_of_any_length(spark):
+    """Scans and redactions take whole secrets, in linear time; the spans are those of the rules as they stand."""
     body = "\n".join("Ab3/" * 16 for _ in range(20))
     pem = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
-    token = "eyJ" + "a1" * 400 + ".eyJ" + "b2" * 1000 + "." + "c3" * 200
-    texts = [f"key {pem} end", f"jwt {token} end", f"x-{token} end", f"-----BEGIN PRIVATE KEY-----\n{body}", "eyJ-" * 100_000, 'password = "' + "q7" * 90 + '" end']
+    old = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    jwt = lambda *n: ".".join(h + "a1-_"[: k % 5] + "b2" * (k // 2) for h, k in zip(("eyJ", "eyJ", ""), n))
+    secrets = [pem, old, jwt(20, 700, 342), jwt(800, 2000, 400), "sk-proj-" + "Zx9_" * 39, "xoxb-" + "1a" * 45, "ghp_" + "a1" * 40, 'password    =   "' + "q7" * 90 + '"', "api_key=" + "k8" * 20, "https://user" + "x" * 60 + ":" + "pw" * 50 + "@h"]
+    texts = [f"say {x} end" for x in secrets] + [f"x-{secrets[2]} end", f"-----BEGIN PRIVATE KEY-----\n{body}", "eyJ-" * 100_000, "a -----BEGIN PRIVATE KEY----- only a header", "my token: internationalization, password hints"]
     out = {r.doc_id: r.text for r in secret_scan.redact(docs(spark, texts)).collect()}
-    assert out == {0: "key [SECRET] end", 1: "jwt [SECRET] end", 2: "[SECRET] end", 3: "[SECRET]", 4: texts[4], 5: "[SECRET] end"}
+    want = {k: "say [SECRET] end" for k in range(len(secrets))} | {len(secrets): "x-[SECRET] end", len(secrets) + 1: "[SECRET]"}
+    want |= {k: texts[k] for k in range(len(secrets) + 2, len(texts))} | {len(secrets) + 3: "a [SECRET] only a header"}
+    assert out == want
+    own = dict(secret_scan.RULES)["json_web_token"]
+    for t in (*texts[:12], f"a.{secrets[2]}.{secrets[3]}", f"q-{jwt(9, 20, 20)} eyJeyJ-{jwt(20, 20, 9)} {jwt(30, 30, 30)}-eyJ.eyJ"):
+        linear = [m.span(1) for m in re.finditer(secret_scan.LINEAR["json_web_token"], t, re.A)]
+        assert linear == [m.span() for m in re.finditer(own, t, re.A)]
 
 
 def test_fingerprints(spark, odd, empty):
@@ -286,6 +295,69 @@ def test_language_id(spark, odd, empty):
     assert lang_id.identify(odd).count() == odd.count() and lang_id.identify(empty).count() == 0
 
 
+def brute_vector(text, dimensions):
+    """Bind and bundle one trigram after the other."""
+    import numpy as np
+
+    vector = lambda c: lang_id._vectors(np.array([ord(c) if c != " " else 0], np.uint64), dimensions)[0].astype(int)
+    flat = " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
+    out = np.zeros(dimensions, int)
+    for a, b, c in zip(flat, flat[1:], flat[2:]):
+        if b != " ":
+            out += np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c)
+    return out
+
+
+def test_language_id_against_brute_force(spark):
+    """Prototypes, cosines and verdicts equal those of a text-by-text computation; the first of equal languages counts."""
+    import numpy as np
+
+    rows = [(k, t, lang, len(t)) for k, (t, lang) in enumerate([("the quick brown fox", "en"), ("and the lazy dog", "en"), ("le renard brun", "fr"), ("et le chien", "fr"), ("und der hund", "de"), ("und der hund", "dd"), ("ja", None)])]
+    known = spark.createDataFrame([*rows, (0, "stray words", "de", 1), (None, "nobody", "en", 1), (9, None, "en", 1)], "doc_id bigint, text string, lang string, n_chars bigint")
+    sums: dict[str, object] = {}
+    for k, t, lang, _ in [*rows[:6], (0, "stray words", "de", 1)]:
+        v = brute_vector(t, 1024).astype(float)
+        sums[lang] = sums.get(lang, 0) + np.rint(v / np.sqrt(v @ v) * 1e6)
+    unit = {k: v / np.sqrt(v @ v) for k, v in sorted(sums.items())}
+    prototypes = lang_id.train(known)
+    assert prototypes.languages == list(unit) and np.allclose(prototypes.vectors, list(unit.values()), atol=1e-6)
+    texts = ["le chien brun et le renard", "und der hund", "the dog!", "x", "77", "renard RENARD, 12 le-brun"]
+    for r in lang_id.identify(docs(spark, texts), prototypes).collect():
+        v = brute_vector(texts[r.doc_id], 1024).astype(float)
+        if not v.any():
+            assert (r.detected, r.cosine, r.accepted) == (None, None, False)
+            continue
+        cosine = {k: float(v @ u / np.sqrt(v @ v)) for k, u in unit.items()}
+        best = max(cosine.values())
+        n = sum(len(w) for w in re.findall(r"[^\W\d_]+", texts[r.doc_id]))
+        assert abs(r.cosine - best) < 1e-9 and r.detected == next(k for k, c in cosine.items() if best - c < 1e-9)
+        assert r.accepted == (best >= lang_id.MIN_COSINE * min(1, n / 40) ** 0.5)
+    assert lang_id.train(known, most_languages=1).languages == ["de"]  # of equally frequent ones the first by name
+
+
+def test_language_id_keeps_short_texts(spark):
+    """One word in each language is enough to stay."""
+    rows = [(k, f"{a} {b} {c}", lang, 0) for lang, words in {"en": "there with which", "fr": "avec dans cette", "de": "nicht auch durch"}.items() for k, (a, b, c) in enumerate([words.split()] * 9)]
+    prototypes = lang_id.train(spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "doc_id bigint, text string, lang string, n_chars bigint"))
+    got = {r.doc_id: r for r in lang_id.identify(docs(spark, ["Avec.", "which", "durch", "there"]), prototypes).collect()}
+    assert [got[k].detected for k in range(4)] == ["fr", "en", "de", "en"] and all(r.accepted for r in got.values())
+
+
+def test_repeated_ids_with_other_contents(spark):
+    """Each row is judged, and extracted, by itself."""
+    table = spark.createDataFrame([(1, "the quick brown fox jumps", "en", 1), (1, "le renard brun et le chien", "fr", 1)] * 3, "doc_id bigint, text string, lang string, n_chars bigint")
+    assert sorted(r.detected for r in lang_id.identify(table).collect()) == ["en"] * 3 + ["fr"] * 3
+    pages = spark.createDataFrame([(1, "u", f"<article><p>{w} one two</p></article><nav>x</nav>", "") for w in ("alpha", "beta")], "page_id bigint, url string, html string, text string")
+    assert sorted(r.text for r in html_extract.extract_pages(pages, html_extract.DEFAULT | {"article": -100, "/article": -100}).collect()) == ["alpha one two", "beta one two"]
+
+
+def test_html_training_finds_rare_labels(spark):
+    """Pages without a label don't use up the limit."""
+    rows = [(k, "u", f"<div><p>{prose(k, 30)}</p></div>", "") for k in range(300)] + [(1000, "u", f"<nav>a b</nav><article><p>{prose(1, 60)}</p></article><footer>c</footer>", "")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
+    assert html_extract.train(pages, 2) == html_extract.train(pages.where("page_id = 1000")) != html_extract.DEFAULT
+
+
 PAGE = "<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><a href='/'>Home</a><a>More</a></nav><div>{}</div><footer><a>x</a></footer></body></html>"
 
 
