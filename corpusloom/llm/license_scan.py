@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.kernels import arrow_map
 
 #: In the expressions below a space stands for white space and what comment blocks put around it.
-GAP = r"[ \t\r\n*#/]{1,20}"
+GAP = r"[ \t\r\n*#/]+"
 _V = "(?:,? (?:version |v\\.? ?|ver\\. ?)?|-|v)"  # before a version number
 
 #: Identifier, and expressions of the licence's names.
