@@ -137,14 +137,23 @@ def scores(inside: dict[str, int], outside: dict[str, int]) -> dict[str, int]:
 
 
 def train(pages: DataFrame, max_pages: int = TRAIN_PAGES) -> dict[str, int]:
-    """Scores learned from the labelled pages among the max_pages rows of least hash of page_id; the defaults if there are none. Rows with a null page_id or html don't take part."""
+    """Scores learned from at most max_pages labelled pages, those of least hash of page_id; the defaults if there are none.
+
+    Only pages with exactly one opening and one closing tag of a label count toward the limit,
+    so labelled pages are found however rare they are. Rows with a null page_id or html don't
+    take part; of hashes equal to the last one that counts all do.
+    """
     key = F.xxhash64(F.col("page_id").cast("bigint"))
-    ids = pages.where("page_id IS NOT NULL").select(key.alias("h")).orderBy("h").limit(max_pages)
-    cut = ids.agg(F.max("h")).first()[0]
+
+    def only(label: str):
+        return (F.regexp_count("html", F.lit(rf"(?i)<{label}\b")) == 1) & (F.regexp_count("html", F.lit(rf"(?i)</{label}\b")) == 1)
+
+    named = pages.where(F.col("page_id").isNotNull()).select(key.alias("h"), F.col("page_id").cast("bigint").alias("page_id"), F.col("html").cast("string").alias("html"))
+    known = named.where(F.col("html").rlike(f"(?i)<(?:{'|'.join(_LABELS)})\\b")).where(only(_LABELS[0]) | only(_LABELS[1]))
+    cut = known.select("h").orderBy("h").limit(max_pages).agg(F.max("h")).first()[0]
     if cut is None:
         return dict(DEFAULT)
-    rows = pages.where(F.col("page_id").isNotNull() & (key <= cut) & F.col("html").isNotNull()).select(F.col("page_id").cast("bigint").alias("page_id"), F.col("html").cast("string").alias("html"))
-    found = rows.mapInArrow(arrow_map(_count, limit=BATCH), "token string, inside bigint, outside bigint").groupBy("token").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).collect()
+    found = known.where(F.col("h") <= cut).select("page_id", "html").mapInArrow(arrow_map(_count, limit=BATCH), "token string, inside bigint, outside bigint").groupBy("token").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).collect()
     return scores({r.token: r.i for r in found}, {r.token: r.o for r in found})
 
 
