@@ -21,13 +21,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.kernels import arrow_map, buffers, mix
+from corpusloom.functions.kernels import buffers, mix, runs
+from corpusloom.llm.kernels import arrow_map
 
 DIMENSIONS = 1024
 #: Labelled texts per language that a prototype is made from, the least by hash of their id.
 TRAIN_PER_LANGUAGE = 500
+#: Languages that have a prototype, the most frequent by labelled rows.
+MOST_LANGUAGES = 1000
 #: A text is rejected if no prototype's cosine reaches this: four standard deviations of a random vector's cosine.
 MIN_COSINE = 4 / DIMENSIONS**0.5
+#: With fewer trigrams less is asked, as a short text's own cosine grows with the root of their number.
+FULL_TRIGRAMS = 40
 #: Trigrams whose vectors are made together.
 BLOCK = 4096
 
@@ -85,9 +90,10 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (key[head] >> np.uint64(48)).astype(np.int64), key[head] & np.uint64((1 << 48) - 1), np.diff(np.append(head, len(key)))
 
 
-def encode(column: pa.Array, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """The texts' vectors (texts, dimensions)."""
+def encode(column: pa.Array, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' vectors (texts, dimensions), and how many trigrams each has."""
     doc, code, count = trigrams(column)
+    total = np.bincount(doc, count, len(column))
     out = np.zeros((len(column), dimensions), np.float32)
     every, number = np.unique(code, return_inverse=True)
     order = np.argsort(number, kind="stable")
@@ -105,7 +111,7 @@ def encode(column: pa.Array, dimensions: int = DIMENSIONS) -> np.ndarray:
         counts = np.zeros((len(column), len(block)), np.float32)
         counts[doc[lo:hi], number[lo:hi] - s] = count[lo:hi]
         out += counts @ vectors.astype(np.float32)
-    return out
+    return out, total
 
 
 class Prototypes:
@@ -114,28 +120,36 @@ class Prototypes:
     def __init__(self, languages: list[str], vectors: np.ndarray):
         self.languages, self.vectors = languages, vectors
 
-    def judge(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """For each text the best prototype's number (the first of equals) and its cosine; -1 and NaN without letters or prototypes."""
-        best, cosine = np.full(len(column), -1), np.full(len(column), np.nan)
+    def judge(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text the best prototype's number (the first of equals), its cosine, and the share of the limit that it must reach; -1 and NaN without letters or prototypes."""
+        best, cosine, share = np.full(len(column), -1), np.full(len(column), np.nan), np.ones(len(column))
         if not self.languages:
-            return best, cosine
-        v = encode(column, self.vectors.shape[1]).astype(np.float64)
+            return best, cosine, share
+        v, total = encode(column, self.vectors.shape[1])
+        v = v.astype(np.float64)
         norm = np.sqrt((v * v).sum(axis=1))
         some = norm > 0
         cos = v[some] @ self.vectors.T / norm[some, None]
         best[some], cosine[some] = cos.argmax(axis=1), cos.max(axis=1)
-        return best, cosine
+        return best, cosine, np.sqrt(np.minimum(total / FULL_TRIGRAMS, 1))
 
 
-def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, dimensions: int = DIMENSIONS) -> Prototypes:
-    """Prototypes of the languages in docs.lang, each from at most per_language texts (least hash of doc_id). Rows with a null doc_id, text or lang don't take part."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
+def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, dimensions: int = DIMENSIONS, most_languages: int = MOST_LANGUAGES) -> Prototypes:
+    """Prototypes of the languages in docs.lang, each from at most per_language texts (least hash of doc_id).
+
+    At most most_languages have one, those with the most labelled rows (of equals the first
+    by name), so what is sent to the tasks and kept on the driver is bounded by these two
+    parameters. Rows with a null doc_id, text or lang don't take part, nor do they count.
+    """
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).select("lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.where("doc_id IS NOT NULL AND lang IS NOT NULL").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id").distinct()
-    sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL").join(F.broadcast(chosen), "doc_id", "left_semi")
+    chosen = rows.select("doc_id", "lang").join(F.broadcast(frequent), "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id", "lang").distinct()
+    # Bounded by the two parameters: 8 MB of ids by default.
+    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")
 
     def bundle(part: pa.RecordBatch) -> pa.RecordBatch:
-        v = encode(part.column(1), dimensions).astype(np.float64)
+        v = encode(part.column(1), dimensions)[0].astype(np.float64)
         norm = np.sqrt((v * v).sum(axis=1))
         unit = np.rint(v / np.maximum(norm, 1)[:, None] * 1e6).astype(np.int64)  # whole numbers: any order of summing gives the same
         names = np.array(part.column(2).to_pylist())
@@ -151,23 +165,15 @@ def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, dimensions: i
 
 
 def language_column(text: Column, prototypes: Prototypes, min_cosine: float = MIN_COSINE) -> Column:
-    """A struct (lang, cosine, accepted): the nearest prototype, its cosine, and whether that reaches min_cosine. Without a letter, and for null, lang and cosine are null and accepted is false."""
+    """A struct (lang, cosine, accepted): the nearest prototype, its cosine, and whether that reaches min_cosine, or less by the root of its trigrams' number over FULL_TRIGRAMS where it has fewer. Without a letter, and for null, lang and cosine are null and accepted is false."""
     held = prototypes
 
     @F.arrow_udf("struct<lang:string,cosine:double,accepted:boolean>")
     def judge(column: pa.Array) -> pa.Array:
-        best, cosine = [], []
-        _, at = buffers(column)
-        start = 0
-        while start < len(column):
-            end = max(start + 1, int(np.searchsorted(at, at[start] + (1 << 20), "right")) - 1)
-            b, c = held.judge(column.slice(start, end - start))
-            best.append(b)
-            cosine.append(c)
-            start = end
-        b, c = np.concatenate([*best, np.zeros(0, int)]), np.concatenate([*cosine, np.zeros(0)])
+        found = [held.judge(column.slice(s, e - s)) for s, e in runs(column)]
+        b, c, share = (np.concatenate([np.zeros(0, kind), *x]) for kind, x in zip((int, float, float), zip(*found) if found else ((), (), ())))
         names = pa.array([*held.languages, None], pa.string()).take(pa.array(np.where(b < 0, len(held.languages), b)))
-        return pa.StructArray.from_arrays([names, pa.array(c, mask=b < 0), pa.array((b >= 0) & (c >= min_cosine))], ["lang", "cosine", "accepted"])
+        return pa.StructArray.from_arrays([names, pa.array(c, mask=b < 0), pa.array((b >= 0) & (c >= min_cosine * share))], ["lang", "cosine", "accepted"])
 
     return judge(text.cast("string"))
 
