@@ -8,30 +8,37 @@ neighbours join the agenda, until it is empty. What is no piece then goes as byt
 A piece of such a vocabulary has U+2581 only at its start. A merge therefore never crosses
 from a character to a following U+2581, so a text falls into segments (a run of U+2581 and
 the characters after it) that are encoded one by one, and each distinct segment of a task
-once. The segments that a batch meets for the first time are also encoded by the
-sentencepiece library, in that Arrow batch, and any difference is counted against the
-texts that hold the segment.
+once. Segments of equal length are merged together: their agendas are the rows of one
+matrix of priorities, and a round takes the best of every row. Long segments, and those with
+characters that the vocabulary lacks, have a heap each.
+
+In every Arrow batch each whole text is encoded by the sentencepiece library too, and the
+two rows of numbers are compared.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
+import sys
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.kernels import buffers
+from corpusloom.functions.kernels import buffers, ranges, runs
 
 SPACE = "▁"
-#: Distinct segments that a worker remembers; when there are more it starts anew.
-REMEMBER = 600_000
+#: Distinct segments that a worker remembers, twice: when there are more, those of the time before go. It only saves time.
+REMEMBER = 400_000
+#: Longer segments have an agenda of their own.
+LONG = 48
 #: Bytes of text whose tokens are put together.
-BATCH = 2 << 20
+BATCH = 4 << 20
 
+_NEVER = np.int32(2**31 - 1)
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -95,6 +102,73 @@ class Vocabulary:
         if len(self.bytes) not in (0, 256):
             raise ValueError("some byte pieces are missing")
 
+        # Symbols are the pieces by number, and after them the characters within pieces that are none themselves.
+        symbols = dict(self.number)
+        for p in self.number:
+            for c in p:
+                symbols.setdefault(c, len(self.pieces) + len(symbols))
+        self.symbol_of = np.full(sys.maxunicode + 1, -1, np.int32)
+        for p, k in symbols.items():
+            if len(p) == 1:
+                self.symbol_of[ord(p)] = k
+        pairs = sorted((symbols[p[:k]] << 32 | symbols[p[k:]], self.order[p], i) for p, i in self.number.items() for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols)
+        self.pair = np.array([k for k, _, _ in pairs] + [1 << 62], np.int64)
+        self.priority = np.array([o for _, o, _ in pairs] + [_NEVER], np.int32)
+        self.union = np.array([i for _, _, i in pairs] + [0], np.int32)
+
+    def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Priorities of pairs, _NEVER for those that are no piece, and the pieces."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.pair, key)
+        return np.where(self.pair[at] == key, self.priority[at], _NEVER), self.union[at]
+
+    def segments(self, texts: list[str]) -> list[bytes]:
+        """The numbers of the pieces of many escaped segments, as int32 bytes each."""
+        out: list[bytes] = [b""] * len(texts)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        begin = np.cumsum(sizes) - sizes
+        symbol = self.symbol_of[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        for n in np.unique(sizes[(sizes > 0) & (sizes <= LONG)]).tolist():
+            every = np.flatnonzero(sizes == n)
+            for s in range(0, len(every), 1 << 15):
+                own = every[s : s + (1 << 15)]
+                self._merge(own, symbol[begin[own, None] + np.arange(n)], texts, out)
+        for k in np.flatnonzero(sizes > 0).tolist():
+            if not out[k]:
+                out[k] = np.array(self.segment(texts[k]), np.int32).tobytes()
+        return out
+
+    def _merge(self, rows: np.ndarray, symbols: np.ndarray, texts: list[str], out: list[bytes]) -> None:
+        """Merge the rows of a matrix of symbols, one pair of each in a round, into out. Characters that the vocabulary lacks are -1, in no pair; rows with a character that only longer pieces have are left."""
+        keep = (symbols < len(self.pieces)).all(axis=1)
+        rows, symbols = rows[keep], symbols[keep]
+        agenda, union = self._look_up(symbols[:, :-1], symbols[:, 1:])
+        while len(rows):
+            width = symbols.shape[1]
+            best = agenda.argmin(axis=1) if width > 1 else np.zeros(len(rows), np.int64)
+            each = np.arange(len(rows))
+            more = agenda[each, best] != _NEVER if width > 1 else np.zeros(len(rows), bool)
+            done = np.flatnonzero(~more)
+            raw = symbols[done].tobytes()
+            for k, row in enumerate(rows[done].tolist()):
+                out[row] = raw[4 * width * k : 4 * width * (k + 1)]
+            for k in done[(symbols[done] < 0).any(axis=1)].tolist():
+                lacking = iter([c for c in texts[rows[k]] if self.symbol_of[ord(c)] < 0])
+                out[rows[k]] = np.array([i for x in symbols[k].tolist() for i in ((x,) if x >= 0 else self._raw(next(lacking)))], np.int32).tobytes()
+            rows, symbols, agenda, union, best = rows[more], symbols[more], agenda[more], union[more], best[more]
+            if not len(rows):
+                return
+            each = np.arange(len(rows))
+            symbols[each, best] = union[each, best]
+            column = np.arange(width - 1)
+            symbols = np.take_along_axis(symbols, column + (column > best[:, None]), axis=1)
+            column = np.arange(width - 2)
+            shift = column + (column >= best[:, None])
+            agenda, union = np.take_along_axis(agenda, shift, axis=1), np.take_along_axis(union, shift, axis=1)
+            for at, some in ((best - 1, best > 0), (best, best < width - 2)):
+                r, c = np.flatnonzero(some), at[some]
+                agenda[r, c], union[r, c] = self._look_up(symbols[r, c], symbols[r, c + 1])
+
     def segment(self, text: str) -> list[int]:
         """The numbers of an escaped segment's pieces, by an agenda of adjacent pairs."""
         symbols = list(text)
@@ -125,60 +199,102 @@ class Vocabulary:
                 continue
             if s in self.number:
                 out.append(self.number[s])
-            elif self.bytes:
-                out += [self.bytes[b] for b in s.encode()]
             else:
-                out.append(self.unknown)
+                out += self._raw(s)
         return out
 
-
-_SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+    def _raw(self, character: str) -> list[int]:
+        """The numbers of what is no piece: its bytes, if the model has them."""
+        return [self.bytes[b] for b in character.encode()] if self.bytes else [self.unknown]
 
 
 class Codec:
-    """Encoder and decoder of one model, with its memory of segments and the library's check."""
+    """Encoder and decoder of one model, with its memory of segments and the library."""
 
     def __init__(self, model: bytes, checked: bool = True):
         self.vocabulary = Vocabulary(model)
         self.known: dict[str, bytes] = {}
-        self.wrong: set[str] = set()
+        self.older: dict[str, bytes] = {}
         self.library = None
         if checked:
             import sentencepiece
 
             self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         v = self.vocabulary
-        self.decoded = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, k in zip(v.pieces, v.kinds)]
-
-    def _learn(self, segments: set[str]) -> None:
-        fresh = [s for s in segments if s not in self.known]
-        if len(self.known) + len(fresh) > REMEMBER:
-            self.known.clear()
-            fresh = list(segments)
-        ids = [self.vocabulary.segment(s) for s in fresh]
-        self.known.update(zip(fresh, (np.array(x, np.int32).tobytes() for x in ids)))
-        if self.library is None or not fresh:
-            return
-        # The library escapes and puts a space in front itself: it gets a segment without its first U+2581, or, where there is none, after a line break.
-        lead = self.library.encode("\n")
-        plain = [s[1:] if self.vocabulary.dummy and s[0] == SPACE and len(s) > 1 else "\n" + s for s in fresh]
-        theirs = self.library.encode([p.replace(SPACE, " ") for p in plain], num_threads=1)
-        for s, p, mine, other in zip(fresh, plain, ids, theirs):
-            if mine != (other[len(lead) :] if p[0] == "\n" and s != SPACE + p else other):
-                self.wrong.add(s)
-
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """Each text's numbers as int32 bytes, and whether the library agrees on all its segments."""
-        front = SPACE if self.vocabulary.dummy else ""
-        cut = [_SEGMENT.findall(front + t.replace(" ", SPACE)) if t else [] for t in texts]
-        self._learn(set().union(*cut))
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut], [not self.wrong or self.wrong.isdisjoint(c) for c in cut]
+        shown = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, k in zip(v.pieces, v.kinds)]
+        self.shown = np.frombuffer(b"".join(shown), np.uint8)
+        self.shown_at = np.concatenate([[0], np.cumsum(list(map(len, shown)))])
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all texts, and the offsets of each text's; null is as empty."""
+        if len(self.known) > REMEMBER:
+            self.known, self.older = {}, self.known
+        column = pc.fill_null(column, "").cast(pa.large_string())
+        none, front = (pa.scalar(x, pa.large_string()) for x in ("", " " if self.vocabulary.dummy else ""))
+        flat = pc.if_else(pc.equal(column, none), none, pc.binary_join_element_wise(front, pc.replace_substring(column, SPACE, " "), none))
+        data, offsets = buffers(flat)
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(len(column) + 1, np.int64)
+        # A segment begins with a text, and with a space after what is none.
+        begin = np.zeros(len(data) + 1, bool)
+        begin[1:-1] = (data[1:] == 32) & (data[:-1] != 32)
+        begin[offsets] = True
+        at = np.flatnonzero(begin)
+        segments = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        rows = self._numbers(segments.dictionary.to_pylist())
+        size = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+        index = segments.indices.to_numpy()
+        ids = np.frombuffer(b"".join(rows), np.int32)[ranges((np.cumsum(size) - size)[index], size[index])]
+        return ids, np.concatenate([[0], np.cumsum(size[index])])[np.searchsorted(at, offsets)]
+
+    def _numbers(self, segments: list[str]) -> list[bytes]:
+        """The numbers of distinct segments, as int32 bytes each."""
+        rows = list(map(self.known.get, segments))
+        new = [k for k, x in enumerate(rows) if x is None]
+        fresh = []
+        for k in new:
+            rows[k] = self.older.get(segments[k])
+            if rows[k] is None:
+                fresh.append(k)
+        for k, x in zip(fresh, self.vocabulary.segments([segments[k].replace(" ", SPACE) for k in fresh])):
+            rows[k] = x
+        self.known.update((segments[k], rows[k]) for k in new)
+        return rows
+
+    def agree(self, column: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> list[bool]:
+        """Whether the library gives the same numbers for each whole text."""
+        theirs = self.library.encode([t or "" for t in column.to_pylist()], num_threads=1)
+        return [x == ids[s:e].tolist() for x, s, e in zip(theirs, offsets[:-1].tolist(), offsets[1:].tolist())]
+
+    def _bytes(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that numbers stand for, without the space in front, and their offsets by text."""
+        size = np.diff(self.shown_at)[ids]
+        data = self.shown[ranges(self.shown_at[ids], size)]
+        at = np.concatenate([[0], np.cumsum(size)])[offsets]
+        if not self.vocabulary.dummy:
+            return data, at
+        some = at[:-1] < at[1:]
+        lead = np.zeros(len(at) - 1, bool)
+        lead[some] = data[at[:-1][some]] == 32
+        keep = np.ones(len(data), bool)
+        keep[at[:-1][lead]] = False
+        return data[keep], at - np.concatenate([[0], np.cumsum(lead)])
+
+    def round_trip(self, column: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Whether the numbers stand for the text again."""
+        data, at = self._bytes(ids, offsets)
+        text, own = buffers(column)
+        same = np.diff(at) == np.diff(own)
+        some = np.flatnonzero(same & (np.diff(own) > 0))
+        size = np.diff(own)[some]
+        if len(some):
+            equal = data[ranges(at[some], size)] == text[ranges(own[some], size)]
+            same[some] = np.logical_and.reduceat(equal, np.cumsum(size) - size)
+        return same
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a row of numbers. Bytes that are no valid UTF-8 become U+FFFD."""
-        text = b"".join(map(self.decoded.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if self.vocabulary.dummy and text.startswith(" ") else text
+        return self._bytes(np.asarray(ids, np.int64), np.array([0, len(ids)]))[0].tobytes().decode("utf-8", "replace")
 
 
 @lru_cache(4)
@@ -201,20 +317,14 @@ def encode_column(text: Column, path: str, checked: bool = True) -> Column:
     @F.arrow_udf("struct<ids:array<int>,agrees:boolean,round_trip:boolean>")
     def encode(column: pa.Array) -> pa.Array:
         own = codec(held.value, checked)
-        _, at = buffers(column)
-        valid = column.is_valid().to_numpy(zero_copy_only=False)
-        parts, start = [], 0
-        while start < len(column):
-            end = max(start + 1, int(np.searchsorted(at, at[start] + BATCH, "right")) - 1)
-            texts = [t or "" for t in column.slice(start, end - start).to_pylist()]
-            rows, agrees = own.encode(texts)
-            every = np.frombuffer(b"".join(rows), np.int32)
-            sizes = np.array([len(r) // 4 for r in rows])
-            cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            back = [own.decode(every[cuts[k] : cuts[k + 1]]) == t for k, t in enumerate(texts)]
-            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(every))
-            parts.append(pa.StructArray.from_arrays([lists, pa.array(agrees if checked else [None] * len(rows), pa.bool_()), pa.array(back)], ["ids", "agrees", "round_trip"], mask=pa.array(~valid[start:end])))
-            start = end
+        valid = column.is_valid()
+        parts = []
+        for start, end in runs(column, BATCH):
+            part = column.slice(start, end - start)
+            ids, cuts = own.encode(part)
+            lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))
+            agrees = own.agree(part, ids, cuts) if checked else [None] * len(part)
+            parts.append(pa.StructArray.from_arrays([lists, pa.array(agrees, pa.bool_()), pa.array(own.round_trip(part, ids, cuts))], ["ids", "agrees", "round_trip"], mask=pc.invert(valid.slice(start, end - start))))
         kind = pa.struct([("ids", pa.list_(pa.int32())), ("agrees", pa.bool_()), ("round_trip", pa.bool_())])
         return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
@@ -229,7 +339,7 @@ def decode_column(ids: Column, path: str) -> Column:
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
         own = codec(held.value, False)
-        return pa.array([None if x is None else own.decode(np.array(x, np.int64)) for x in column.to_pylist()], pa.string())
+        return pa.array([None if x is None else own.decode(x) for x in column.to_pylist()], pa.string())
 
     return decode(ids.cast("array<int>"))
 
