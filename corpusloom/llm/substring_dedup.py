@@ -7,6 +7,10 @@ super-k-mer, r + k - 1 words for r windows) to the minimiser's bucket. There the
 are sorted, equal neighbours are compared word by word, and counted. One shuffle of the
 packed strings and one of the repeated ranges, whatever the number of copies.
 
+A hot bucket (a passage with very many copies, or a frequent run of words as minimiser)
+would be one task's. Buckets are counted first, and the windows of a hot one go by their own
+hash, with partial counts before the shuffle.
+
 A word travels as 32 bits of its hash. Two windows count as equal only if all k
 fingerprints are.
 """
@@ -20,12 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.kernels import Words, arrow_map, mix, ranges, rolling, sliding_min
+from corpusloom.functions.kernels import buffers, mix, ranges, rolling, runs
+from corpusloom.llm.kernels import Words, arrow_map, original_spans, sliding_min
+from corpusloom.workspace import Workspace
 
 WINDOW = 50
 MINIMISER = 5
 #: Windows that a task sorts together, in whole buckets.
 SORT_WINDOWS = 1 << 20
+#: Super-k-mers beyond which a bucket is hot.
+HOT = 1 << 16
 
 
 def _pack(k: int, m: int):
@@ -62,6 +70,45 @@ def _pack(k: int, m: int):
     return arrow_map(fn)
 
 
+def _sizes(k: int, m: int):
+    """(doc_id, text) to (bucket, n), n being the super-k-mers of a run of texts."""
+    pack = _pack(k, m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pack(batches):
+            bucket, n = np.unique(part.column(0).to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n)], ["bucket", "n"])
+
+    return run
+
+
+def _windows(k: int):
+    """Super-k-mers to their windows (a, b, doc_id, pos), a and b being two hashes of the words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 4096):
+                _, doc, start, packed = batch.slice(s, 4096).columns
+                raw, at = buffers(packed)
+                ids = raw.view(np.uint32)
+                length = np.diff(at) // 4
+                have = length - k + 1
+                place = ranges(at[:-1] // 4, have)
+                owner = np.repeat(np.arange(len(have)), have)
+                pos = start.to_numpy().astype(np.int64)[owner] + place - (at[:-1] // 4)[owner]
+                keys = (pa.array(rolling(x, k)[place].view(np.int64)) for x in (ids, mix(ids.astype(np.uint64) + np.uint64(1))))
+                yield pa.RecordBatch.from_arrays([*keys, doc.take(pa.array(owner)), pa.array(pos)], ["a", "b", "doc_id", "pos"])
+
+    return run
+
+
+def _hot_ranges(packed: DataFrame, k: int) -> DataFrame:
+    """The same as _count gives, for hot buckets: a row for each repeated window."""
+    each = packed.mapInArrow(_windows(k), "a bigint, b bigint, doc_id bigint, pos bigint")
+    known = each.groupBy("a", "b").agg(F.count("*").alias("n_copies"), F.min(F.struct("doc_id", "pos")).alias("head")).where("n_copies > 1")
+    return each.join(known, ["a", "b"]).select("doc_id", F.col("pos").alias("lo"), F.col("pos").alias("hi"), (F.struct("doc_id", "pos") == F.col("head")).alias("is_first"), "n_copies")
+
+
 def _same(ids: np.ndarray, at: np.ndarray, order: np.ndarray, key: np.ndarray, k: int) -> np.ndarray:
     """For sorted windows, whether each equals the one before, word by word."""
     same = np.zeros(len(order), bool)
@@ -123,10 +170,9 @@ def _count(k: int):
         windows, last = 0, None
 
         def flush() -> pa.RecordBatch | None:
-            table = pa.Table.from_batches(held).combine_chunks()
-            packed = table.column("packed").chunk(0)
-            at = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
-            ids = np.frombuffer(packed.buffers()[2], np.uint8)[at[0] : at[-1]].view(np.uint32)
+            table = pa.Table.from_batches(held)
+            raw, at = buffers(table.column("packed").cast(pa.large_binary()))  # may be more than 2 GB
+            ids = np.ascontiguousarray(raw).view(np.uint32)
             return count_windows(table.column("doc_id").to_numpy(), table.column("start").to_numpy().astype(np.int64), ids, np.diff(at) // 4, k)
 
         for batch in batches:
@@ -157,7 +203,11 @@ def _count(k: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> DataFrame:
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+
+
+def repeated_spans(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, hot: int = HOT) -> DataFrame:
     """All passages of k or more words that occur more than once: rows (doc_id, start_word, end_word, is_first, n_copies).
 
     Words are runs of letters, numbers and underscores in lower case, numbered from 0 in each
@@ -167,12 +217,17 @@ def repeated_spans(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> Data
     the span's windows. A text may repeat itself. Rows whose doc_id or text is null are left
     out; texts of fewer than k words have no window; rows that share a doc_id count as
     separate occurrences at the same place, all of them first if one is. Other columns are
-    ignored. An empty table gives no rows.
+    ignored. An empty table gives no rows. Buckets of more than `hot` super-k-mers are
+    counted window by window, by 128 bits of hash, with the same result.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    rows = _rows(docs)
     packed = rows.mapInArrow(_pack(k, m), "bucket bigint, doc_id bigint, start int, packed binary")
-    sent = packed.repartition("bucket").sortWithinPartitions("bucket")
+    large = Workspace(docs.sparkSession).save(rows.mapInArrow(_sizes(k, m), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > hot).select("bucket"), "hot")
+    some = not large.isEmpty()
+    sent = (packed.join(large, "bucket", "left_anti") if some else packed).repartition("bucket").sortWithinPartitions("bucket")
     found = sent.mapInArrow(_count(k), "doc_id bigint, lo bigint, hi bigint, is_first boolean, n_copies bigint")
+    if some:
+        found = found.unionByName(_hot_ranges(packed.join(large, "bucket", "left_semi"), k))
     # Ranges of windows from different buckets meet again by document.
     by = Window.partitionBy("doc_id", "is_first").orderBy("lo", "hi")
     seen = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1)) + k
@@ -181,6 +236,52 @@ def repeated_spans(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> Data
     return spans.select("doc_id", "start_word", "end_word", "is_first", "n_copies")
 
 
+def _cut(column: pa.Array, spans: pa.Array) -> pa.Array:
+    """The texts without the words of spans (start_word, end_word, is_first), but for those that spans with is_first hold too."""
+    words = Words(column)
+    first, last = original_spans(column, words)
+    owner = spans.flatten()
+    text = np.repeat(np.arange(len(column)), np.diff(np.asarray(spans.offsets)))
+    start, end = (owner.field(k).to_numpy() + words.first[text] for k in ("start_word", "end_word"))
+    keep_of = owner.field("is_first").to_numpy(zero_copy_only=False)
+    covered = [np.zeros(len(words.hash) + 1, np.int64) for _ in range(2)]
+    for kind in (0, 1):
+        np.add.at(covered[kind], start[keep_of == kind], 1)
+        np.add.at(covered[kind], end[keep_of == kind], -1)
+    gone = (np.cumsum(covered[0]) > 0) & (np.cumsum(covered[1]) == 0)
+    data, at = buffers(column)
+    drop = np.zeros(len(data) + 1, np.int64)
+    goes = np.flatnonzero(gone[:-1])
+    np.add.at(drop, first[goes], 1)
+    # What lies between two words that go goes with them, within a text.
+    follow = np.isin(goes + 1, goes) & ~np.isin(goes + 1, words.first)
+    np.add.at(drop, np.where(follow, first[np.minimum(goes + 1, len(first) - 1)], last[goes]), -1)
+    keep = np.cumsum(drop[:-1]) == 0
+    total = np.concatenate([[0], np.cumsum(keep)])[at]
+    return pa.Array.from_buffers(pa.large_string(), len(column), [None, pa.py_buffer(total), pa.py_buffer(np.ascontiguousarray(data[keep]))]).cast(pa.string())
+
+
+def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> DataFrame:
+    """docs without the copies of repeated_spans: of every passage the first occurrence stays.
+
+    Words go from the first byte of the first to the last byte of the last; those that a first
+    occurrence in the same text needs stay. All rows and columns stay; null texts, rows with a
+    null doc_id and texts without copies are unchanged. Rows that share a doc_id have the same
+    spans removed, which is well defined only where their texts are equal; others keep theirs.
+    """
+    spans = repeated_spans(docs, k, m).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word", "is_first"))).alias("spans")).where(F.exists("spans", lambda s: ~s["is_first"]))
+    several = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("id")).agg((F.count_distinct("text") > 1).alias("unlike")).where("unlike").select("id")
+    spans = spans.join(several, F.col("doc_id") == F.col("id"), "left_anti").select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
+
+    @F.arrow_udf("string")
+    def cut(column: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.concat_arrays([*(_cut(column.slice(s, e - s), spans.slice(s, e - s)) for s, e in runs(column)), pa.array([], pa.string())])
+
+    joined = docs.join(spans, F.col("doc_id").cast("bigint") == F.col("__id"), "left")
+    some = joined.where("__spans IS NOT NULL AND text IS NOT NULL").withColumn("text", cut(F.col("text").cast("string"), F.col("__spans")))
+    return some.unionByName(joined.where("__spans IS NULL OR text IS NULL")).select(*docs.columns)
+
+
 #: The same in SQL, for the default window.
 SQL = r"""
 WITH docs AS (
