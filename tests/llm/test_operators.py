@@ -97,6 +97,82 @@ def test_fingerprint_entropy():
         assert abs(mine[i] - 1000 * -(p * np.log2(p)).sum() / 6) < 1.01
 
 
+def brute_features(text, ranks):
+    """Selected features by looking at every window and every run of 64 of them."""
+    import numpy as np
+
+    raw = text.encode()
+    windows = [raw[k : k + 64] for k in range(len(raw) - 63)]
+    own = []
+    for w in windows:
+        total = sum(round(c * np.log2(c) * 2**20) for c in (w.count(bytes([b])) for b in set(w)))
+        own.append(ranks.get((6 * 2**20 - total // 64) * 1000 // (6 * 2**20)))
+    padded = [None] * 63 + own + [None] * 63
+    score = [0] * len(padded)
+    for k in range(len(padded) - 63):
+        known = [(r, k + i) for i, r in enumerate(padded[k : k + 64]) if r is not None]
+        if known:
+            score[min(known)[1]] += 1
+    out = []
+    for k, w in enumerate(windows):
+        if own[k] is not None and score[k + 63] >= fingerprint.POPULAR:
+            h = np.zeros(1, np.uint64)
+            for word in np.frombuffer(w, np.uint64):
+                h = fingerprint.mix(h * np.uint64(0x9E3779B97F4A7C15) + word)
+            out.append(int(h[0]))
+    return list(dict.fromkeys(out))
+
+
+def brute_filters(features):
+    """Bits of each filter, as sets, with their number of features."""
+    return [({(h >> 11 * k) & 2047 for h in features[s : s + 160] for k in range(5)}, len(features[s : s + 160])) for s in range(0, len(features), 160)]
+
+
+def brute_score(one, other):
+    if len(one) > len(other):
+        one, other = other, one
+    pairs = [[(len(a & b), len(a), len(b)) for b, n in other if n >= 6] for a, m in one if m >= 6]
+    if not pairs or not pairs[0]:
+        return None
+    best = []
+    for row in pairs:
+        scores = [0.0]
+        for common, a, b in row:
+            chance = a * b / 2048
+            cut = chance + 0.3 * (min(a, b) - chance)
+            scores.append((common - cut) / (min(a, b) - cut) if common > cut and min(a, b) > cut else 0.0)
+        best.append(max(scores))
+    return sum(best) / len(best)
+
+
+def test_fingerprints_against_brute_force(spark):
+    """Ranks, selection, chained filters, scores and the choice of the best, ties included."""
+    from collections import Counter
+
+    import numpy as np
+
+    texts = [prose(1, 150), prose(1, 90) + " " + prose(2, 60), prose(3, 1800), "short", prose(4, 40) * 2, "", prose(3, 1500)]
+    refs = [prose(1, 120), prose(3, 1700), prose(3, 1700), prose(9, 80), "x" * 100]
+    counts = Counter()
+    for t in texts:
+        raw = t.encode()
+        for k in range(len(raw) - 63):
+            w = raw[k : k + 64]
+            step = (6 * 2**20 - sum(round(c * np.log2(c) * 2**20) for c in Counter(w).values()) // 64) * 1000 // (6 * 2**20)
+            counts[step] += step >= fingerprint.LEAST_ENTROPY
+    ranks = {s: k for k, (_, s) in enumerate(sorted((n, s) for s, n in counts.items() if n))}
+    own, known = ([brute_filters(brute_features(t, ranks)) for t in x] for x in (texts, refs))
+    assert max(map(len, own)) > 1
+    rows = fingerprint.fingerprints(docs(spark, texts), spark.createDataFrame(list(enumerate(refs)), "item_id bigint, text string"), "item_id").collect()
+    for r in rows:
+        bits, n = fingerprint.unpack(bytes(r.digest)) if r.digest else ([], [])
+        assert [(set(np.flatnonzero(np.unpackbits(b))), int(c)) for b, c in zip(bits, n)] == own[r.doc_id]
+        scores = [(s, -k) for k, f in enumerate(known) if (s := brute_score(own[r.doc_id], f)) is not None]
+        best = max(scores, default=None)
+        assert (r.score is None) == (best is None) and (best is None or abs(r.score - best[0]) < 1e-6)
+        assert r.best_id == (None if not best or not best[0] else -best[1])
+
+
 def brute_spans(text, items):
     w = words(text)
     covered = set()
@@ -153,6 +229,24 @@ def test_substring_dedup(spark, odd, empty):
     assert {5, 6} <= copies and substring_dedup.repeated_spans(empty).count() == 0
 
 
+def test_substring_dedup_of_hot_buckets(spark):
+    """Hot buckets are counted window by window, with the same result."""
+    shared = prose(7, 90)
+    table = docs(spark, [prose(k, 20) + " " + shared + " " + prose(k + 50, k) for k in range(40)] + [prose(500, 80)] * 3)
+    rows = sorted(substring_dedup.repeated_spans(table).collect())
+    assert len(rows) > 40 and sorted(substring_dedup.repeated_spans(table, hot=4).collect()) == rows == sorted(substring_dedup.repeated_spans(table, hot=0).collect())
+
+
+def test_substring_dedup_removes_copies(spark, odd):
+    shared = prose(7, 70)
+    texts = [f"A {shared}. Z", f"{prose(2, 9)}, {shared}! {prose(3, 9)}", prose(4, 30), f"{shared} {shared}"]
+    out = {r.doc_id: r.text for r in substring_dedup.remove_repeats(docs(spark, texts)).collect()}
+    assert out == {0: texts[0], 1: f"{prose(2, 9)}, ! {prose(3, 9)}", 2: texts[2], 3: ""}
+    gone = substring_dedup.remove_repeats(odd)
+    assert gone.columns == odd.columns and gone.count() == odd.count()
+    assert sorted(r.text for r in gone.where("doc_id = 6").collect()) == [""] and substring_dedup.remove_repeats(odd.limit(0)).count() == 0
+
+
 def brute_licenses(text):
     found = [(m.start(), m.end(), k) for k, (_, _, e) in enumerate(license_scan.RULES) for m in re.finditer(e, text, re.I | re.A)]
     left = [a for a in found if not any(b != a and b[0] <= a[0] and b[1] >= a[1] and (b[1] - b[0] > a[1] - a[0] or b[2] < a[2]) for b in found)]
