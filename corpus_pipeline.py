@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import decontam, jaccard_join, lang_id, secret_scan, spm
 from corpusloom.llm.queries import SPM_MODEL
-from corpusloom.llm.workspace import Workspace
+from corpusloom.sources.tables import spread, table
+from corpusloom.workspace import Workspace
 
 
 def _with_text(docs: DataFrame, text) -> DataFrame:
@@ -63,7 +64,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. An empty documents table gives none."""
     work = Workspace(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(table(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
         docs = work.save(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,33 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that a kernel looks at together; a longer text is taken whole, alone.
-CHUNK_BYTES = 1 << 20
-
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        size = max(n, 2 * len(_POWERS[0]), CHUNK_BYTES + 1)
-        for k, base in enumerate((_BASE, _BASE_INV)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A finaliser that spreads every bit of a 64-bit word over all others (a bijection)."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return x
+from corpusloom.functions.kernels import CHUNK_BYTES, buffers, mix, powers, ranges, rolling
 
 
 @lru_cache(1)
@@ -56,21 +30,6 @@ def _word_table() -> np.ndarray:
     return table
 
 
-def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string or binary column, and the n + 1 offsets of its rows in them. Null is empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if column.null_count:
-        column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
-    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
-    _, at, data = column.buffers()
-    if not len(column) or at is None:
-        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
-    offsets = np.frombuffer(at, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
 def chunks(batch: pa.RecordBatch, text: int = 1, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about `limit` bytes of text each."""
     if not batch.num_rows:
@@ -125,7 +84,7 @@ class Words:
             after[offsets[1:][offsets[1:] > 0] - 1] = False
         self.start = np.flatnonzero(inside & ~before)
         self.stop = np.flatnonzero(inside & ~after) + 1
-        power, inverse = _powers(n + 1)
+        power, inverse = powers(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
         self.hash = mix((total[self.stop] - total[self.start]) * inverse[self.start])
@@ -147,19 +106,6 @@ def original_spans(column: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarr
     return start, stop
 
 
-def rolling(x: np.ndarray, n: int) -> np.ndarray:
-    """A hash of every n consecutive values; the result has len(x) - n + 1 items, or none."""
-    m = len(x) - n + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(m, np.uint64)
-    factor = 0xD6E8FEB86659FD93
-    for k in range(n):
-        out += x[k : k + m] * np.uint64(factor)
-        factor = factor * 0xA0761D6478BD642F & (1 << 64) - 1 | 1
-    return mix(out)
-
-
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """The least of every w consecutive values."""
     if len(x) < w:
@@ -171,13 +117,6 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - have)], x[w - have :]) if have < w else x
 
 
-def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The indices start[0], start[0] + 1, ... of every range, one range after the other."""
-    total = int(length.sum())
-    ends = np.cumsum(length)
-    return np.arange(total, dtype=np.int64) + np.repeat(start - (ends - length), length)
-
-
 def grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct n-grams of each text, and offsets by text. A text of 1 to n - 1 words has one gram: all its words."""
     count = np.diff(words.first)

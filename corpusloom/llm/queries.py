@@ -8,17 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import decontam, fingerprint, html_extract, jaccard_join, lang_id, license_scan, secret_scan, spm, substring_dedup, url_filter
+from corpusloom.sources.tables import spread, table
 
 #: The merge-type model that the registered queries use; the operators take any path.
 SPM_MODEL = os.environ.get("CORPUSLOOM_SPM_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return spread(table(spark, sf_dir, "pages"))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
