@@ -32,11 +32,11 @@ from corpusloom.functions.kernels import buffers, ranges, runs
 
 SPACE = "▁"
 #: Distinct segments that a worker remembers, twice: when there are more, those of the time before go. It only saves time.
-REMEMBER = 400_000
+REMEMBER = 150_000
 #: Longer segments have an agenda of their own.
 LONG = 48
 #: Bytes of text whose tokens are put together.
-BATCH = 4 << 20
+BATCH = 1 << 20
 
 _NEVER = np.int32(2**31 - 1)
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
