@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import atlas, budget, contamination, duplicates, records, vocabulary
-from corpusloom.sources import extract
+from corpusloom.plans import findings, report
+from corpusloom.sources import extract, sniff
 from corpusloom.sources import records as layouts
 from corpusloom.sources.tables import conversations, documents, spread, table
 from corpusloom.streaming import incremental
@@ -263,6 +264,51 @@ def normalised_records(spark: SparkSession, folder: str) -> DataFrame:
     return d.groupBy("dataset", "layout").agg(F.count("*").alias("records"), F.sum(F.coalesce(F.size("turns"), F.lit(0))).cast("bigint").alias("turns"), F.sum(F.length("text")).cast("bigint").alias("chars"))
 
 
+def _scan(spark: SparkSession, folder: str) -> findings.Scan:
+    """The tables as one scan: documents, conversations, the benchmark, and as cards whether a dataset's documents name a licence."""
+    docs = documents(spark, folder)
+    named = docs.groupBy("dataset").agg(F.max(F.when(F.lower("text").contains("license"), "stated")).alias("license"))
+    return findings.Scan(docs, conversations(spark, folder), None, named, _items(spark, folder))
+
+
+@query
+def finding_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """What the whole catalog of checks finds."""
+    rows = findings.findings(_scan(spark, folder))
+    return rows.select("check_id", "severity", "count", "total", "rate", F.size("by_dataset").cast("bigint").alias("datasets"), F.array_join("would_block_under", ",").alias("would_block"))
+
+
+@query
+def fingerprint_measures(spark: SparkSession, folder: str) -> DataFrame:
+    return report.measures(_scan(spark, folder))
+
+
+@query
+def logs_among_datasets(spark: SparkSession, folder: str) -> DataFrame:
+    return layouts.not_training_data(_props(spark, folder))
+
+
+@query
+def coerced_content(spark: SparkSession, folder: str) -> DataFrame:
+    return layouts.coerced_content(layouts.to_documents(_props(spark, folder)))
+
+
+@query
+def unread_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations as question and answer, with the whole first turn beside them under a key that no layout reads."""
+    turns = table(spark, folder, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    said = lambda k: F.try_element_at("t", F.lit(k))["text"]
+    raw = turns.select(F.lit("conversations").alias("dataset"), F.col("conv_id").alias("place"), F.to_json(F.struct(said(1).alias("instruction"), said(2).alias("output"), said(1).alias("aside"))).alias("record"))
+    return layouts.unread_keys(raw)
+
+
+@query
+def text_files_with_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Events' properties, twenty to a file, and documents as files of their own."""
+    events = table(spark, folder, "events").groupBy(F.floor(F.col("event_id") / 20)).agg(F.array_join(F.sort_array(F.collect_list("props")), "\n").alias("text")).select(F.lit("events").alias("dataset"), "text")
+    return sniff.text_files_with_records(events.unionByName(documents(spark, folder).select("dataset", "text")))
+
+
 @query
 def turn_changes(spark: SparkSession, folder: str) -> DataFrame:
     """Turns by role and the role before, over a window of each conversation."""

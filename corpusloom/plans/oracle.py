@@ -6,6 +6,7 @@ from corpusloom.functions import patterns as P
 from corpusloom.functions.language import EXPECTED, PROFILES, SCRIPTS
 from corpusloom.functions.text import CONTROL, HTML_DROPPED, MOJIBAKE, SPACE, TERMINAL, TURKISH
 from corpusloom.operators.duplicates import PRESETS, PRIME, coefficients
+from corpusloom.plans.report import FACETS
 
 Q = lambda s: "'" + s.replace("'", "''") + "'"
 
@@ -312,3 +313,66 @@ WITH c AS (SELECT ltrim(html) AS h FROM pages UNION ALL SELECT ltrim(text) FROM
 SELECT CASE WHEN {matches('h', '(?i)^(<!doctype html|<html)')} THEN 'html' WHEN {matches('h', r'^\{[^\n]*\}\s*\n\s*\{')} THEN 'jsonl' WHEN {matches('h', r'^[\[{]')} THEN 'json' WHEN {matches('h', r'(?m)^#{1,6} \S')} THEN 'markdown' ELSE 'plain' END AS format, count(*) AS files FROM c GROUP BY 1"""
 SQL["event_windows"] = "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 SQL["stream_exact_duplicates"] = "SELECT count(DISTINCT text) AS distinct_texts FROM documents WHERE text IS NOT NULL"
+
+
+def _rows(name: str, count: str, total: str = "total", dataset: str = "dataset", severity: str = "NULL", where: str = "true") -> str:
+    return f"SELECT CAST({dataset} AS VARCHAR) AS dataset, CAST({count} AS BIGINT) AS n, CAST({total} AS BIGINT) AS total, {severity} AS severity FROM ({SQL[name]}) WHERE {where}"
+
+
+_CONV = "'conversations'"
+_role_rows = f"WITH {TURNS}, f AS (SELECT conv_id, bool_or(role <> raw_role) AS r FROM turns GROUP BY conv_id) SELECT 'conversations' AS dataset, count_if(r) AS n, count(*) AS total, NULL AS severity FROM f"
+_personal_rows = f"WITH {DOCS}, found AS (\n  {_PERSONAL}), k AS (SELECT DISTINCT doc_id FROM found) SELECT dataset, count(k.doc_id) AS n, count(*) AS total, NULL AS severity FROM docs LEFT JOIN k USING (doc_id) GROUP BY dataset"
+_outlier_rows = f"SELECT dataset, n, CASE WHEN k = 1 THEN total ELSE 0 END AS total, NULL AS severity FROM (SELECT dataset, records AS n, total, row_number() OVER (PARTITION BY dataset ORDER BY lang) AS k FROM ({SQL['language_outliers']}))"
+_licence_rows = f"WITH {DOCS} SELECT dataset, CAST(NOT bool_or(coalesce(contains(lower(text), 'license'), false)) AS INTEGER) AS n, 1 AS total, NULL AS severity FROM docs GROUP BY dataset"
+_overlap_rows = f"SELECT source || ' in ' || target AS dataset, matched AS n, \"of\" AS total, NULL AS severity FROM ({SQL['dataset_overlap']}) ORDER BY fraction DESC, source, target LIMIT 1"
+_blocking = lambda when, other: f"CASE WHEN {when} THEN 'blocking' ELSE '{other}' END"
+#: (id, severity, profiles that it blocks, rows, least total, least rate)
+CHECKS: list[tuple[str, str, str, str, int, float]] = [
+    ("T0-ROLE-001", "blocking", "sft", _rows("role_structure", "affected", dataset=_CONV), 0, 0),
+    ("T0-ROLE-002", "blocking", "sft", _role_rows, 0, 0),
+    ("T0-REASON-001", "warning", "", _rows("reasoning_mix", "minority", dataset=_CONV, where="flagged"), 0, 0),
+    ("T0-TRUNC-002", "warning", "sft", _rows("response_length_cap", "at_top", dataset=_CONV, where="flagged"), 0, 0),
+    *((f"T0-QUAL-00{k}", "info", "", _rows("line_shape_quality", c), 50, 0) for k, c in ((1, "low_punct"), (2, "short_lines"), (3, "dup_lines"))),
+    ("T0-ENC-001", "warning", "sft,corpus", _rows("encoding_hygiene", "affected"), 0, 0),
+    ("T0-DUP-001", "warning", "", _rows("exact_duplicates", "copies", "first_seen"), 0, 0),
+    ("T0-DEGEN-001", "warning", "", _rows("degeneracy", "trivial + looping + copies"), 0, 0),
+    ("T0-TMPL-001", "warning", "sft", _rows("template_drift", "records", "records", "family"), 0, 0),
+    ("T0-MASK-001", "blocking", "sft", _rows("mask_summary", "untrainable", dataset=_CONV), 0, 0),
+    ("T0-TRUNC-001", "warning", "sft", _rows("truncation", "truncated"), 0, 0),
+    ("T1-NDUP-001", "warning", "", _rows("near_summary", "near_duplicates", dataset="'all'"), 0, 0),
+    ("T1-DUP-002", "warning", "", _rows("contradictory_prompts", "contradictory", "prompts", _CONV), 0, 0),
+    ("T1-OVERLAP-001", "warning", "", _overlap_rows, 0, 0),
+    ("T1-CONTAM-001", "blocking", "sft,corpus,preference", _rows("benchmark_contamination", "contaminated", "items", "benchmark", _blocking("flagged", "warning")), 0, 0),
+    ("T1-LANG-001", "info", "", _rows("language_composition", "CASE WHEN lang = 'unknown' THEN records ELSE 0 END", "records", "dataset || lang"), 0, 0),
+    ("T1-LANG-002", "warning", "", _outlier_rows, 0, 0),
+    ("T1-LANG-003", "info", "", _rows("script_mismatches", "mismatched", dataset="lang"), 0, 0),
+    ("T1-PII-001", "blocking", "sft,corpus,preference", _personal_rows, 0, 0),
+    ("T1-IDENT-001", "warning", "sft", _rows("identity_refusal", "identity + refusal", severity=_blocking("identity > 0", "info")), 0, 0),
+    ("T1-STYLE-001", "info", "", _rows("style_openers", "openers"), 0, 0.15),
+    ("T1-LIC-001", "warning", "", _licence_rows, 0, 0),
+]
+_FOUND = "\nUNION ALL ".join(
+    f"SELECT '{k}' AS check_id, coalesce(CASE WHEN bool_or(severity = 'blocking') THEN 'blocking' ELSE max(severity) END, '{sev}') AS severity, CAST(sum(n) AS BIGINT) AS count, CAST(sum(total) AS BIGINT) AS total, round(sum(n) / sum(total), 6) AS rate, CAST(count_if(n > 0) AS BIGINT) AS datasets, '{blocks}' AS blocks FROM ({rows}) HAVING sum(n) > 0 AND sum(total) >= {least} AND round(sum(n) / sum(total), 6) >= {rate}"
+    for k, sev, blocks, rows, least, rate in CHECKS
+)
+SQL["finding_rows"] = f"SELECT check_id, severity, count, total, rate, datasets, CASE WHEN severity = 'blocking' THEN blocks ELSE '' END AS would_block FROM (\n{_FOUND})"
+_facets = ", ".join(f"('{c[0]}', '{facet}')" for facet, (_, ids) in FACETS.items() for c in CHECKS if c[0] in ids)
+SQL["fingerprint_measures"] = f"""
+WITH found AS ({_FOUND}), every(check_id, facet) AS (VALUES {_facets}), both_ AS (SELECT * FROM every LEFT JOIN found USING (check_id)), t AS ({SQL['totals']}),
+s AS (SELECT count(*) AS datasets, sum(records) AS records, sum(chars) AS chars, sum(words) AS words, sum(tokens) AS tokens FROM t)
+SELECT facet, check_id || ' count' AS measure, CAST(coalesce(count, 0) AS DOUBLE) AS value FROM both_ UNION ALL SELECT facet, check_id || ' rate', CAST(coalesce(rate, 0) AS DOUBLE) FROM both_
+UNION ALL SELECT 'shape', k, CAST(v AS DOUBLE) FROM (SELECT unnest(['datasets', 'records', 'chars', 'words', 'tokens']) AS k, unnest([datasets, records, chars, words, tokens]) AS v FROM s)"""
+
+SQL["unread_keys"] = """
+WITH t AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+SELECT 'aside' AS key, count(*) AS records, CAST(sum(length(t[1])) AS BIGINT) AS chars FROM t WHERE length(t[1]) >= 40 AND len(t) > 1"""
+SQL["coerced_content"] = "SELECT 'conversations' AS dataset, count(DISTINCT conv_id) AS total, CAST(0 AS BIGINT) AS coerced FROM conversations"
+_object = "coalesce(json_valid(props) AND json_type(props) = 'OBJECT', false)"
+SQL["unparseable_records"] = f"SELECT 'events' AS dataset, count(*) AS total, CAST(count_if(NOT {_object}) AS BIGINT) AS errors FROM events UNION ALL SELECT 'conversations', count(DISTINCT conv_id), 0 FROM conversations"
+SQL["normalised_records"] = f"""
+SELECT 'events' AS dataset, CASE WHEN {_object} THEN 'raw' ELSE 'error' END AS layout, count(*) AS records, CAST(0 AS BIGINT) AS turns, CAST(sum(CASE WHEN {_object} THEN length(props) END) AS BIGINT) AS chars FROM events GROUP BY 2
+UNION ALL SELECT 'conversations', 'chatml', count(*), CAST(sum(n) AS BIGINT), CAST(sum(chars) AS BIGINT) FROM (SELECT count(*) AS n, sum(length(coalesce(text, ''))) + count(*) - 1 AS chars FROM conversations GROUP BY conv_id)"""
+SQL["induced_layouts"] = f"""
+WITH v AS (SELECT 'events' AS dataset, CASE WHEN {_object} THEN 'raw' ELSE 'error' END AS layout, count(*) AS records FROM events GROUP BY 2 UNION ALL SELECT 'conversations', 'chatml', count(DISTINCT conv_id) FROM conversations),
+r AS (SELECT *, records / sum(records) OVER (PARTITION BY dataset) AS s, row_number() OVER (PARTITION BY dataset ORDER BY records DESC, layout) AS k FROM v)
+SELECT dataset, layout, records, round(s, 6) AS share, k = 1 AS is_main, false AS mixed, CAST(0 AS DOUBLE) AS log_share FROM r"""

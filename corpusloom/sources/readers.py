@@ -52,7 +52,7 @@ def stem(name: str) -> str:
     return base if ending.lower() in FORMATS else base + ending
 
 
-def discover(root: str, most: int = 200_000, family: int = 3) -> list[File]:
+def discover(root: str, family: int = 3) -> list[File]:
     """The data files under root, by path. The folder names the dataset, for files at the top their stem; `family` and more files whose names differ by a shard number are one dataset. Empty files and cards are left out."""
     found: list[tuple[str, str, int, str, str | None]] = []
     for folder, inner, names in os.walk(root):
@@ -60,7 +60,7 @@ def discover(root: str, most: int = 200_000, family: int = 3) -> list[File]:
         for name in sorted(names):
             path = os.path.join(folder, name)
             kind, packed = classified(name)
-            if kind and name.lower() not in CARDS and not name.startswith((".", "_")) and os.path.getsize(path) and len(found) < most:
+            if kind and name.lower() not in CARDS and not name.startswith((".", "_")) and os.path.getsize(path):
                 found.append((path, os.path.relpath(path, root), os.path.getsize(path), kind, packed))
     shards: dict[tuple[str, str], int] = {}
 
@@ -196,8 +196,44 @@ def _unpacked(data: bytes, how: str) -> bytes:
     return {"gzip": gzip, "bz2": bz2, "xz": lzma}[how].decompress(data)
 
 
+def _records_of(text: str, kind: str) -> list[tuple[str | None, str | None]]:
+    """(record, error) of a file's unpacked text, as the readers of plain files have them."""
+    import csv
+    import io
+    import json
+
+    from corpusloom.sources.sniff import framing
+
+    written = lambda x: json.dumps(x, ensure_ascii=False)
+    if kind == "text":
+        found = framing(text)[1]
+        return [(text[s:e], None) for s, e in found] or [(written({"text": text}), None)]
+    if kind == "csv":
+        rows = csv.reader(io.StringIO(text), delimiter=delimiter(text[: 1 << 16]))
+        header = next(rows, [])
+        names = list(canonical_headers(header).values())
+        return [(written({k: v for k, v in zip(names, row) if v}), None) for row in rows if row]
+    if kind == "json" or text.lstrip().startswith("["):
+        try:
+            whole = json.loads(text)
+        except ValueError:
+            pass
+        else:
+            if isinstance(whole, dict) and whole and all(isinstance(v, list) for v in whole.values()):
+                whole = [x for v in whole.values() for x in v]
+            return [(written(x), None) if isinstance(x, dict) else (None, written(x)[:2000]) for x in (whole if isinstance(whole, list) else [whole])]
+    out: list[tuple[str | None, str | None]] = []
+    for line in filter(str.strip, text.split("\n")):
+        try:
+            good = isinstance(json.loads(line), dict)
+        except ValueError:
+            good = False
+        out.append((line, None) if good else (None, line[:2000]))
+    return out
+
+
 def _binary(listing: list[File]):
-    """(path, content) to records, for what Spark has no source for: Arrow files, and text packed by xz or zstd."""
+    """(path, content) to records, for what Spark has no source for: Arrow files, and whatever is packed by xz or zstd."""
     by = {f.path: f for f in listing}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,16 +254,7 @@ def _binary(listing: list[File]):
                         rows = [(None, f"{f.relative}: unpack this file first; its format has its own compression")]
                     else:
                         text = _unpacked(data, f.compression).decode("utf-8", "replace")
-                        if f.format == "text":
-                            rows = [(json.dumps({"text": text}, ensure_ascii=False), None)]
-                        else:
-                            for line in text.split("\n"):
-                                if line.strip():
-                                    try:
-                                        ok = isinstance(json.loads(line), dict)
-                                    except ValueError:
-                                        ok = False
-                                    rows.append((line, None) if ok else (None, line[:2000]))
+                        rows = _records_of(text, f.format)
                 except Exception as e:  # a file that can't be read is a record of its error, not the end of the scan
                     rows = [(None, f"{f.relative}: {e}"[:2000])]
                 n = len(rows)
@@ -239,7 +266,7 @@ def _binary(listing: list[File]):
 def read_files(spark: SparkSession, files: list[File], limit_per_file: int | None = None) -> DataFrame:
     """All records of the files: (dataset, file, place, record, error). record is a JSON object's text; what can't be read has an error instead. With a limit, the first records of each file by place."""
     parts: list[DataFrame] = []
-    plain = [f for f in files if f.compression in (None, "gzip", "bz2") and f.format != "arrow" and not (f.compression and f.format in ("parquet", "orc"))]
+    plain = [f for f in files if (f.compression is None or f.compression in ("gzip", "bz2") and f.format != "csv") and f.format != "arrow" and not (f.compression and f.format in ("parquet", "orc"))]
     for kind, read in (("jsonl", _jsonl), ("json", _json), ("text", _text)):
         if own := [f for f in plain if f.format == kind]:
             if kind == "jsonl":
@@ -269,6 +296,31 @@ def read_files(spark: SparkSession, files: list[File], limit_per_file: int | Non
     return out
 
 
+def cards(root: str) -> list[tuple[str, str, str]]:
+    """(folder, license, language) of the dataset cards under root."""
+    out = []
+    for folder, inner, names in os.walk(root):
+        inner[:] = sorted(x for x in inner if x not in SKIPPED_FOLDERS and not x.startswith("."))
+        for name in sorted(names):
+            if name.lower() in ("readme.md", "dataset_card.md"):
+                with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as f:
+                    own = card(f.read())
+                where = os.path.relpath(folder, root).replace(os.sep, "/")
+                out.append(("" if where == "." else where, own.get("license", ""), own.get("language", "")))
+    return out
+
+
+def licences(spark: SparkSession, root: str) -> DataFrame:
+    """(dataset, license) of every dataset under root: its own folder's card counts, else that of the nearest folder above."""
+    known = {folder: text for folder, text, _ in cards(root)}
+    rows = []
+    for dataset in sorted({f.dataset for f in discover(root)}):
+        parts = dataset.split("/")
+        above = ["/".join(parts[:k]) for k in range(len(parts), -1, -1)]
+        rows.append((dataset, next((known[a] for a in above if known.get(a)), None)))
+    return spark.createDataFrame(rows, "dataset string, license string")
+
+
 def _head(path: str) -> str:
     with open(path, encoding="utf-8", errors="replace") as f:
         return f.read(4096).lstrip()
