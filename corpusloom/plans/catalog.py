@@ -278,6 +278,16 @@ def finding_rows(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("check_id", "severity", "count", "total", "rate", F.size("by_dataset").cast("bigint").alias("datasets"), F.array_join("would_block_under", ",").alias("would_block"))
 
 
+@query
+def atlas_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """The two checks of the map. The embeddings are few at small scale, so each is taken for the records of one topic: its vector is there seven times."""
+    vectors = _vectors(spark, folder)
+    many = vectors.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.col("vec_id") * 7 + k)).alias("vec_id"), "dataset", "embedding", "label")
+    scan = findings.Scan(documents(spark, folder), vectors=many, cells=atlas.centroids(vectors), profile="unknown")
+    rows = scan.spark.createDataFrame([tuple(r) for k in ("T1-ATLAS-001", "T1-ATLAS-002") for r in findings.REGISTRY.checks[k].finding(scan).collect()], findings.FINDING)
+    return rows.select("check_id", "count", "total", "rate")
+
+
 @query
 def fingerprint_measures(spark: SparkSession, folder: str) -> DataFrame:
     return report.measures(_scan(spark, folder))

@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import budget, contamination, duplicates, records
+from corpusloom.operators import atlas, budget, contamination, duplicates, records
 from corpusloom.sources import records as layouts
 from corpusloom.workspace import Workspace
 
@@ -26,7 +26,8 @@ class Scan:
 
     docs: (doc_id, dataset, text). convs: conversations as sources.tables has them. raw:
     (dataset, place, record) as JSON. cards: (dataset, license). items: (benchmark, item_id,
-    text). A target is a profile that findings may block.
+    text). vectors and cells: embeddings and the map's regions, as operators.atlas has them.
+    A target is a profile that findings may block.
     """
 
     docs: DataFrame
@@ -34,6 +35,8 @@ class Scan:
     raw: DataFrame | None = None
     cards: DataFrame | None = None
     items: DataFrame | None = None
+    vectors: DataFrame | None = None
+    cells: DataFrame | None = None
     profile: str = UNKNOWN
     target: str | None = None
     template: str | None = None
@@ -54,6 +57,10 @@ class Scan:
         """raw as documents, written once."""
         return Workspace(self.spark).save(layouts.to_documents(self.raw), "normalised")
 
+    @cached_property
+    def placed(self) -> DataFrame:
+        return Workspace(self.spark).save(atlas.assign(self.vectors, self.cells), "placed")
+
     def has(self, need: str) -> bool:
         if need == "several datasets":
             return len(self.docs.select("dataset").distinct().limit(2).collect()) > 1
@@ -175,6 +182,20 @@ def _templates(scan: Scan) -> DataFrame:
     return _by(found.crossJoin(scan.docs.agg(F.count("*").alias("total"))), "records", "total", "family", F.when(F.col("blocking"), BLOCKING).otherwise(WARNING).alias("severity")).withColumn("total", F.when(F.row_number().over(records.Window.orderBy("dataset")) == 1, F.col("total")).otherwise(0))
 
 
+def _few_regions(scan: Scan, least: int = 300, effective: float = 10, top: float = 0.25) -> DataFrame:
+    """The regions that are held, of all, where the corpus keeps to few."""
+    c = atlas.coverage(scan.placed, scan.cells).where((F.col("placed") >= least) & ((F.col("effective") <= effective) | (F.col("top_share") >= top)))
+    return _by(c.crossJoin(scan.cells.agg(F.count("*").alias("cells"))), "regions", "cells", F.lit("all"))
+
+
+def _alike_regions(scan: Scan, least: int = 300, share: float = 0.2, cohesion: float = 0.75) -> DataFrame:
+    """Records of large regions whose members are much alike."""
+    n = scan.placed.agg(F.count_if(F.col("region") != -1).alias("placed")).where(F.col("placed") >= least)
+    large = atlas.cohesion(scan.placed, scan.vectors).crossJoin(n).where((F.col("n") >= share * F.col("placed")) & (F.col("cohesion") >= cohesion))
+    first = F.row_number().over(records.Window.orderBy("region")) == 1
+    return _by(large, "n", F.when(first, F.col("placed")).otherwise(0), F.col("region").cast("string"))
+
+
 def _truncated(scan: Scan) -> DataFrame:
     return _by(budget.truncation(scan.docs, scan.seq_len), "truncated")
 
@@ -201,6 +222,8 @@ _add("T1-NDUP-001", "Near duplicates", WARNING, "Keep one of each cluster.", lam
 _add("T1-DUP-002", "Prompts with several answers", WARNING, "Keep one answer, or make preferences of them.", lambda s: _by(records.contradictory_prompts(s.convs), "contradictory", "prompts", F.lit("conversations")), (SFT,), (), ("convs",))
 _add("T1-OVERLAP-001", "Datasets that share records", WARNING, "Drop one of two datasets that overlap.", lambda s: _by(s.near.overlap(1), "matched", "of", F.concat_ws(" in ", "source", "target")), EVERY, (), ("several datasets",))
 _add("T1-CONTAM-001", "Benchmark items in the data", BLOCKING, "Remove the records that hold them.", _contaminated, EVERY, (SFT, CORPUS, PREFERENCE), ("items",))
+_add("T1-ATLAS-001", "Few regions of the map", INFO, "Check that the corpus is meant to be narrow.", _few_regions, EVERY, (), ("vectors", "cells"))
+_add("T1-ATLAS-002", "Large regions of records much alike", WARNING, "Look for templates and copies.", _alike_regions, EVERY, (), ("vectors", "cells"))
 _add("T1-LANG-001", "Records of unknown language", INFO, "Look at what these are.", _language)
 _add("T1-LANG-002", "Languages that few records of a dataset have", WARNING, "Check that they belong there.", lambda s: _by(records.language_outliers(s.docs), "records", F.when(F.row_number().over(records.Window.partitionBy("dataset").orderBy("lang")) == 1, F.col("total")).otherwise(0)))
 _add("T1-LANG-003", "Texts in another script than their language's", INFO, "Check the language labels.", lambda s: _by(records.script_mismatches(s.docs), "mismatched", "total", "lang"))

@@ -376,3 +376,12 @@ SQL["induced_layouts"] = f"""
 WITH v AS (SELECT 'events' AS dataset, CASE WHEN {_object} THEN 'raw' ELSE 'error' END AS layout, count(*) AS records FROM events GROUP BY 2 UNION ALL SELECT 'conversations', 'chatml', count(DISTINCT conv_id) FROM conversations),
 r AS (SELECT *, records / sum(records) OVER (PARTITION BY dataset) AS s, row_number() OVER (PARTITION BY dataset ORDER BY records DESC, layout) AS k FROM v)
 SELECT dataset, layout, records, round(s, 6) AS share, k = 1 AS is_main, false AS mixed, CAST(0 AS DOUBLE) AS log_share FROM r"""
+
+SQL["atlas_findings"] = f"""{W}, r AS (SELECT region, 7 * count(*) AS n FROM placed WHERE region <> -1 GROUP BY region), p AS (SELECT sum(n) AS placed FROM r),
+q AS (SELECT coalesce(n, 0) AS n, coalesce(n, 0) / placed AS p, size / sum(size) OVER () AS q FROM cells LEFT JOIN r USING (region), p),
+e AS (SELECT count_if(n > 0) AS regions, count(*) AS cells, round(max(p), 6) AS top, round(sum(CASE WHEN n > 0 THEN least(1.0, p / q) END), 6) AS effective FROM q),
+v AS (SELECT region, unnest(v) AS x, unnest(range(len(v))) AS d FROM placed WHERE region <> -1), s AS (SELECT region, d, 7 * sum(x) AS s FROM v GROUP BY ALL),
+c AS (SELECT region, n, round(greatest(-1.0, least(1.0, (sum(s * s) - n) / (n * (n - 1)))), 6) AS cohesion FROM s JOIN r USING (region) GROUP BY region, n HAVING n >= 20),
+a AS (SELECT sum(n) AS n, any_value(placed) AS placed FROM c, p WHERE placed >= 300 AND n >= 0.2 * placed AND cohesion >= 0.75)
+SELECT 'T1-ATLAS-001' AS check_id, CAST(regions AS BIGINT) AS count, CAST(cells AS BIGINT) AS total, round(regions / cells, 6) AS rate FROM e, p WHERE placed >= 300 AND (effective <= 10 OR top >= 0.25)
+UNION ALL SELECT 'T1-ATLAS-002', CAST(n AS BIGINT), CAST(placed AS BIGINT), round(n / placed, 6) FROM a WHERE n > 0"""

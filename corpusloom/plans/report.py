@@ -19,6 +19,7 @@ FACETS: dict[str, tuple[str, tuple[str, ...]]] = {
     "redundancy": ("conditional", ("T0-DUP-001", "T1-NDUP-001", "T1-DUP-002", "T1-OVERLAP-001")),
     "quality": ("conditional", ("T0-QUAL-001", "T0-QUAL-002", "T0-QUAL-003", "T0-ENC-001", "T0-DEGEN-001", "T1-IDENT-001", "T1-STYLE-001")),
     "structure": ("conditional", ("T0-SCHEMA-001", "T0-SCHEMA-002", "T0-SCHEMA-003", "T0-SCHEMA-004", "T0-SCHEMA-005", "T0-ROLE-001", "T0-ROLE-002", "T0-TMPL-001", "T0-MASK-001", "T0-TRUNC-002", "T0-REASON-001")),
+    "coverage": ("depends on the goal", ("T1-ATLAS-001", "T1-ATLAS-002")),
     "language": ("depends on the goal", ("T1-LANG-001", "T1-LANG-002", "T1-LANG-003")),
     "compliance": ("risk", ("T1-PII-001", "T1-LIC-001")),
     "contamination": ("lower is better", ("T1-CONTAM-001",)),
