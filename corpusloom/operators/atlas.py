@@ -28,11 +28,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def centroids(vectors: DataFrame, label: str = "label", categories: int = 3) -> DataFrame:
-    """One region per label: the mean of its unit vectors at length 1, its size, and a category (label modulo `categories`)."""
+def centroids(vectors: DataFrame, label: str = "label", categories: int = 3, parents: DataFrame | None = None) -> DataFrame:
+    """One region per label: the mean of its unit vectors at length 1, its size, and its category by parents (region, category); without such a table, label modulo `categories`."""
     parts = vectors.where(F.col(label).isNotNull()).select(F.col(label).alias("region"), F.posexplode(unit(F.col("embedding"))).alias("d", "x"))
     means = parts.groupBy("region", "d").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
     rows = means.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v"), F.max("n").alias("size"))
+    if parents is not None:
+        return rows.join(parents.select("region", "category"), "region", "left").select("region", "category", unit(F.col("v.x")).alias("vec"), "size")
     return rows.select("region", F.concat(F.lit("cat"), F.pmod("region", F.lit(categories)).cast("string")).alias("category"), unit(F.col("v.x")).alias("vec"), "size")
 
 
@@ -53,10 +55,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def nearest(embedding: Column, cells: DataFrame, k: int = 1, temperature: float = 0.08) -> Column:
     """The k nearest regions of each vector: an array of (region, score, weight), the best first and of equals (to 9 places) the least region; weight is the softmax of score / temperature over the k. The centroids go to every task as one matrix; they must fit SEND_BYTES."""
-    rows = cells.select("region", "category", "vec").collect()
-    if sum(len(r.vec) for r in rows) * 8 > SEND_BYTES:
+    if 8 * (cells.agg(F.sum(F.size("vec"))).first()[0] or 0) > SEND_BYTES:
         raise ValueError("the map is too large to send to every task: use nearest_by_join")
-    own = _Map(rows)
+    own = _Map(cells.select("region", "category", "vec").collect())
 
     @F.arrow_udf("array<struct<region:bigint,score:double,weight:double>>")
     def find(column: pa.Array) -> pa.Array:
@@ -98,7 +99,7 @@ def coverage(placed: DataFrame, cells: DataFrame) -> DataFrame:
     n = placed.agg(F.count("*").alias("records"), F.count_if(F.col("region") == OFF).alias("off"))
     counts = placed.where(F.col("region") != OFF).groupBy("region").agg(F.count("*").alias("n"))
     whole = Window.partitionBy(F.lit(1))
-    shares = counts.join(F.broadcast(cells.select("region", "size")), "region", "right").select("region", F.coalesce("n", F.lit(0)).alias("n"), "size")
+    shares = counts.join(cells.select("region", "size"), "region", "right").select("region", F.coalesce("n", F.lit(0)).alias("n"), "size")
     shares = shares.select("n", (F.try_divide(F.col("n"), F.sum("n").over(whole))).alias("p"), (F.col("size") / F.sum("size").over(whole)).alias("q"))
     seen = shares.agg(F.count_if(F.col("n") > 0).alias("regions"), F.sum(F.when(F.col("n") > 0, -F.col("p") * F.ln("p"))).alias("h"), F.max("p").alias("top"), F.sum(F.when(F.col("n") > 0, F.least(F.lit(1.0), F.col("p") / F.col("q")))).alias("e"), F.count("*").alias("cells"))
     return n.crossJoin(seen).select("records", (F.col("records") - F.col("off")).alias("placed"), "off", "regions", F.round("h", 6).alias("entropy"), F.round(F.try_divide("h", F.ln(F.col("cells"))), 6).alias("concentration"), F.round("top", 6).alias("top_share"), F.round("e", 6).alias("effective"))
@@ -209,7 +210,7 @@ def purity(placed: DataFrame, label: str = "label") -> DataFrame:
 
 def category_counts(placed: DataFrame, cells: DataFrame, label: str = "label") -> DataFrame:
     """(category, label, n): how often each label falls into each category."""
-    return placed.join(F.broadcast(cells.select("region", "category")), "region").groupBy("category", label).agg(F.count("*").alias("n"))
+    return placed.join(cells.select("region", "category"), "region").groupBy("category", label).agg(F.count("*").alias("n"))
 
 
 def crosswalk(one: DataFrame, other: DataFrame) -> DataFrame:

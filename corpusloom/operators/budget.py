@@ -29,9 +29,19 @@ def token_count(text: Column, path: str | None = None) -> Column:
     return count(text)
 
 
-def stratified_budget(docs: DataFrame, per_stratum: int = 50, tokens: Column | None = None) -> DataFrame:
-    """Total tokens by a ratio estimate in each dataset from at most per_stratum records (the least hashes of their place): (chars, tokens, margin, per_char). margin is 1.96 standard errors, with the correction for finite strata."""
+#: Records in a sample over all datasets, and of each at least.
+SAMPLE, LEAST_SAMPLE = 20_000, 200
+
+
+def share_of_sample(docs: DataFrame) -> int:
+    """How many records of each dataset a sample takes: SAMPLE over the datasets, LEAST_SAMPLE at least."""
+    return max(LEAST_SAMPLE, SAMPLE // max(1, docs.select("dataset").distinct().count()))
+
+
+def stratified_budget(docs: DataFrame, per_stratum: int | None = None, tokens: Column | None = None) -> DataFrame:
+    """Total tokens by a ratio estimate in each dataset from at most per_stratum records (share_of_sample by default; the least hashes of their place): (chars, tokens, margin, per_char). margin is 1.96 standard errors, with the correction for finite strata."""
     tokens = T.token_estimate(F.col("text")) if tokens is None else tokens
+    per_stratum = per_stratum or share_of_sample(docs)
     rows = docs.where(F.length("text") > 0).select("doc_id", "dataset", "text", T.hash60(F.concat(F.col("dataset"), F.lit(":"), F.col("doc_id").cast("string"))).alias("h"))
     strata = rows.groupBy("dataset").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("records"))
     chosen = rows.select("doc_id", "dataset", "h").withColumn("n", F.row_number().over(Window.partitionBy("dataset").orderBy("h", "doc_id"))).where(F.col("n") <= per_stratum).select("doc_id", "dataset")

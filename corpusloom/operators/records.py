@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import patterns as P
 from corpusloom.functions import text as T
 from corpusloom.functions.language import detect, script_mismatch
+from corpusloom.operators.budget import share_of_sample
 
 
 def _n(condition: Column, name: str) -> Column:
@@ -169,12 +170,13 @@ def content_digest(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("records"), F.pmod(F.coalesce(F.sum(own.cast("decimal(38,0)")), F.lit(0)), F.lit(10**18).cast("decimal(38,0)")).cast("bigint").alias("digest"))
 
 
-def bottom_k(docs: DataFrame, k: int = 100) -> DataFrame:
+def bottom_k(docs: DataFrame, k: int = 200_000) -> DataFrame:
     """A sample of k records: the least hashes of their place. Needs no sort of the whole, and adding records moves few."""
     return docs.where(F.length("text") > 20).select("doc_id", "dataset", T.hash60(F.concat(F.col("dataset"), F.lit(":"), F.col("doc_id").cast("string"))).alias("h")).orderBy("h", "doc_id").limit(k)
 
 
-def stratified_sample(docs: DataFrame, k: int = 20) -> DataFrame:
-    """k records of each dataset, the least hashes of their place."""
+def stratified_sample(docs: DataFrame, k: int | None = None) -> DataFrame:
+    """k records of each dataset (share_of_sample by default), the least hashes of their place."""
+    k = k or share_of_sample(docs)
     hashed = docs.where(F.length("text") > 20).select("doc_id", "dataset", T.hash60(F.concat(F.col("dataset"), F.lit(":"), F.col("doc_id").cast("string"))).alias("h"))
     return hashed.withColumn("n", F.row_number().over(Window.partitionBy("dataset").orderBy("h", "doc_id"))).where(F.col("n") <= k).select("dataset", "doc_id")

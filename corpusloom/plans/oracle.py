@@ -197,14 +197,14 @@ c AS (SELECT doc_id, length(text) AS n, length(text) - length(regexp_replace(tex
 SELECT doc_id, CASE WHEN n = 0 THEN 0.0 ELSE round(s / n, 6) END AS space_share, CASE WHEN n = 0 THEN 0.0 ELSE round((n - s - l) / n, 6) END AS other_share, coalesce(round(repetition, 6), 0.0) AS repetition FROM c LEFT JOIN repeated USING (doc_id)"""
 SQL["content_digest"] = f"WITH {DOCS} SELECT count(*) AS records, CAST(sum(CAST({hash60('concat_ws(' + Q('|') + ', length(dataset), dataset, length(text), text)')} AS HUGEINT)) % 1000000000000000000 AS BIGINT) AS digest FROM docs"
 _place = hash60("dataset || ':' || CAST(doc_id AS VARCHAR)")
-SQL["bottom_k"] = f"WITH {DOCS} SELECT doc_id, dataset, {_place} AS h FROM docs WHERE length(text) > 20 ORDER BY h, doc_id LIMIT 100"
-SQL["stratified_sample"] = f"WITH {DOCS} SELECT dataset, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY {_place}, doc_id) AS n FROM docs WHERE length(text) > 20) WHERE n <= 20"
+SQL["bottom_k"] = f"WITH {DOCS} SELECT doc_id, dataset, {_place} AS h FROM docs WHERE length(text) > 20 ORDER BY h, doc_id LIMIT 200000"
+SQL["stratified_sample"] = f"WITH {DOCS} SELECT dataset, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY {_place}, doc_id) AS n FROM docs WHERE length(text) > 20) WHERE n <= greatest(200, 20000 // (SELECT count(DISTINCT dataset) FROM docs))"
 SQL["packing"] = f"WITH {DOCS}, t AS (SELECT count(*) AS records, CAST(coalesce(sum({tokens('text')}), 0) AS BIGINT) AS tokens FROM docs WHERE text IS NOT NULL) SELECT records, tokens, tokens // 2048 AS blocks, tokens % 2048 AS residual FROM t"
 SQL["truncation"] = f"WITH {DOCS}, t AS (SELECT dataset, {tokens('text')} AS n FROM docs WHERE text IS NOT NULL) SELECT dataset, count(*) AS total, CAST(count_if(n > 2048) AS BIGINT) AS truncated, CAST(sum(greatest(n - 2048, 0)) AS BIGINT) AS tokens_lost FROM t GROUP BY dataset"
 SQL["stratified_budget"] = f"""
 WITH {DOCS}, r AS (SELECT dataset, length(text)::DOUBLE AS c, {tokens('text')}::DOUBLE AS t, row_number() OVER (PARTITION BY dataset ORDER BY {_place}, doc_id) AS n FROM docs WHERE length(text) > 0),
 strata AS (SELECT dataset, sum(c) AS chars, count(*) AS records FROM r GROUP BY dataset),
-s AS (SELECT dataset, sum(t) AS t, sum(c) AS c, sum(t * t) AS tt, sum(t * c) AS tc, sum(c * c) AS cc, count(*) AS n FROM r WHERE n <= 50 GROUP BY dataset),
+s AS (SELECT dataset, sum(t) AS t, sum(c) AS c, sum(t * t) AS tt, sum(t * c) AS tc, sum(c * c) AS cc, count(*) AS n FROM r WHERE n <= greatest(200, 20000 // (SELECT count(DISTINCT dataset) FROM docs)) GROUP BY dataset),
 e AS (SELECT chars, chars * t / c AS tokens, CASE WHEN n > 1 THEN records * records * (1 - n / records) * greatest(tt - 2 * t / c * tc + (t / c) * (t / c) * cc, 0) / greatest(n - 1, 1) / n ELSE 0 END AS var FROM s JOIN strata USING (dataset))
 SELECT CAST(sum(chars) AS BIGINT) AS chars, round(sum(tokens), 3) AS tokens, round(1.96 * sqrt(sum(var)), 3) AS margin, round(sum(tokens) / sum(chars), 9) AS per_char FROM e"""
 SQL["unigrams"] = f"WITH {DOCS}, w AS (SELECT unnest({words('text')}) AS word FROM docs), c AS (SELECT word, count(*) AS n FROM w GROUP BY word) SELECT word, n, round(ln(n / (SELECT sum(n) FROM c)), 6) AS log_p FROM c ORDER BY n DESC, word LIMIT 120000"

@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusloom.session import cut
 
@@ -45,20 +46,23 @@ def windowed(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> D
 
 
 def windowed_counts(spark: SparkSession, folder: str, width: str = "1 day") -> DataFrame:
-    """windowed() of the whole events table, streamed: windows that the watermark has not closed when the stream ends are emitted too, by foreachBatch over complete results."""
+    """windowed() of the whole events table, streamed in update mode, so that windows which the watermark has passed leave the state. Each batch's changes are a folder of their own, written again if the batch is; the last change of a window counts."""
     work = _folder(spark)
     stream = windowed(_stream(spark, folder, "events", EVENTS), width)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{work}/table/batch=-1")
 
-    def store(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{work}/table")
+    def store(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{work}/table/batch={k}")
 
-    run = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{work}/state").foreachBatch(store).trigger(availableNow=True).start()
+    run = stream.writeStream.outputMode("update").option("checkpointLocation", f"{work}/state").foreachBatch(store).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{work}/table")
+    changes = spark.read.schema(StructType([*stream.schema, StructField("batch", LongType())])).parquet(f"{work}/table")
+    last = changes.groupBy("window_start", "event_type").agg(F.max_by(F.struct("events", "total"), "batch").alias("last"))
+    return last.select("window_start", "event_type", "last.events", "last.total")
 
 
 def exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    """By dataset: documents that a stream keeps as the first of their text. State is a 16-byte hash per distinct text."""
+    """How many distinct texts a stream of documents has. State is a 16-byte hash per distinct text and grows with them: documents have no event time by which a watermark could let it go."""
     docs = _stream(spark, folder, "documents", DOCUMENTS).where("text IS NOT NULL").select("doc_id", F.md5("text").alias("h"))
     kept = _settled(docs.dropDuplicates(["h"]).select("h"), _folder(spark))
     return kept.agg(F.count("*").alias("distinct_texts"))
