@@ -1,10 +1,8 @@
-"""The session's settings that the operators rely on, and the folder that executors share."""
+"""The session's settings that the operators rely on."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -25,17 +23,3 @@ def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8
     spark = build.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, by a checkpoint in the folder of spark.checkpoint.dir. Where that is unset, a local run gets a folder of its own; a cluster gets an error."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()

@@ -6,21 +6,19 @@ that it can be queried as a table. State and results lie in the shared folder.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from corpusloom.session import cut
+from corpusloom.workspace import Workspace
 
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
 def _folder(spark: SparkSession) -> str:
-    cut(spark.range(1))  # makes sure that there is a shared folder
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    """A folder for one run's state and results; it goes when the driver's Python ends."""
+    return Workspace(spark).root
 
 
 def _stream(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
