@@ -1,20 +1,19 @@
 """N-gram Jaccard join: all links between documents whose sets of word n-grams overlap enough.
 
 Three steps. Copies: documents with one and the same set of n-grams are a class, of which one
-representative goes on, with the number of its copies. Routing: MinHash bands put documents
-that may be alike into one block: all members of a band are compared by their sketches, and
-those that agree are linked, so that blocks stay small however many documents share a
-passage. Search: in each block every document is a query to a T-occurrence search over the
-block's inverted lists (DivideSkip), which finds all documents of the block that reach the
-required overlap, exactly.
+representative goes on, with the number of its copies. Routing: the grams are put in order of
+the number of documents that hold them, rarest first. Two sets of n grams or more that reach
+the threshold T share one of the first n - ceil(T n) + 1 of either, so all that share such a
+gram are a band, and those of a band are linked whose bitmaps do not rule the threshold out.
+Linked documents are a block. Search: in each block every document is a query to a
+T-occurrence search over the block's inverted lists (DivideSkip), which finds all documents of
+the block that reach the required overlap.
+
+Every step is exact: order, bands and bitmaps only leave out pairs that cannot reach the
+threshold. (Grams are compared by 64 bits of hash.)
 
 Bands and blocks of any size are cut into parts of a bounded number of documents, and every
 two parts meet in a task of their own, so no task holds a whole hot band or block.
-
-Routing is the one approximate step. With the defaults a pair at the threshold meets in a
-band with probability 0.996, and pairs that are more alike nearly always. A pair that meets
-is linked, whoever else is in the band, unless its sketches differ by four standard
-deviations.
 """
 
 from __future__ import annotations
@@ -24,19 +23,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.kernels import Words, arrow_map, grams, mix
+from corpusloom.functions.kernels import ranges
+from corpusloom.llm.kernels import Words, arrow_map, chunks, grams, mix
 from corpusloom.operators.components import components, least_in_reach
 from corpusloom.operators.groups import bounds, by_group, meeting, part_of
 from corpusloom.workspace import Workspace
 
 N = 3
 THRESHOLD = 0.6
-BANDS, ROWS = 40, 4
-#: Sketches may agree this much less than the threshold: four standard deviations of the estimate.
-SLACK = 0.16
+#: Grams are counted in so many buckets, each in one task, by 32 more bits of their hash: what these confuse only looks more frequent.
+BUCKETS = 512
+#: Bytes of text, and rows, whose grams go to the buckets together.
+PACK, PACK_ROWS = 4 << 20, 1 << 16
+#: Bytes of a document's bitmap: a power of two, at least one for each gram, within these limits. Shorter ones rule out less.
+BITMAP = (8, 8192)
 #: Larger bands and blocks are cut into parts of about so many, and every two parts meet in a task of their own.
 PART_DOCS = 2048
 #: Cost of a binary probe against a merge step, by which DivideSkip chooses the long lists.
@@ -44,15 +48,16 @@ MU = 0.0085
 
 #: Two sums over a set of grams tell whether it is the same as another.
 _SEEDS = mix(np.array([3, 5], np.uint64))
-_MULTIPLIERS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def minhash(g: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Signatures (documents, lanes) of non-empty gram sets."""
-    out = np.empty((len(offsets) - 1, len(_MULTIPLIERS)), np.uint32)
-    for k, a in enumerate(_MULTIPLIERS):
-        out[:, k] = np.minimum.reduceat(((g * a) >> np.uint64(32)).astype(np.uint32), offsets[:-1])
-    return out
+def bitmaps(g: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of non-empty gram sets, one after the other, and the n + 1 offsets of their bytes. A gram sets the bit of its lowest bits of hash."""
+    size = np.diff(offsets)
+    width = np.clip(1 << np.ceil(np.log2(size)).astype(np.int64), *BITMAP)
+    at = np.concatenate([[0], np.cumsum(width)])
+    bits = np.zeros(8 * int(at[-1]), bool)
+    bits[np.repeat(8 * at[:-1], size) + (g & np.repeat((8 * width - 1).astype(np.uint64), size)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little"), at
 
 
 def _sketch(n: int):
@@ -61,29 +66,155 @@ def _sketch(n: int):
         some = np.flatnonzero(np.diff(offsets))
         if not len(some):
             return None
-        sig = minhash(g, np.append(offsets[some], len(g)))
-        wide = sig.astype(np.uint64).reshape(len(some), BANDS, ROWS)
-        key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(some), BANDS)).copy()
-        for r in range(ROWS):
-            key = mix(key * np.uint64(0xD6E8FEB86659FD93) + wide[:, :, r])
-        lists = pa.ListArray.from_arrays(np.arange(0, key.size + 1, BANDS, dtype=np.int32), pa.array(key.view(np.int64).ravel()))
-        low = np.ascontiguousarray(sig.astype(np.uint8))
-        sketch = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(np.arange(0, low.size + 1, low.shape[1], dtype=np.int32)), pa.py_buffer(low)])
+        data, at = bitmaps(g, np.append(offsets[some], len(g)))
+        bits = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
         one, two = (np.add.reduceat(mix(g ^ seed), offsets[some]) for seed in _SEEDS)
-        at = pa.array(some)
-        return pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(2).take(at), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists, sketch], ["doc_id", "h", "one", "two", "bands", "sketch"])
+        held = pa.array(some)
+        return pa.RecordBatch.from_arrays([part.column(0).take(held), part.column(2).take(held), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.diff(offsets)[some].astype(np.int32)), bits], ["doc_id", "h", "one", "two", "n", "bits"])
 
     return arrow_map(fn)
 
 
+#: Rows between the steps that count grams: those of one chunk of documents in one bucket, or (bucket < 0) the chunk's documents.
+_PACKED = "chunk bigint, bucket int, x binary, y binary, z binary"
+
+
+def _packed(rows: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([v if k < 2 else v.tobytes() for v in column], kind) for k, (column, kind) in enumerate(zip(zip(*rows), kinds))], ["chunk", "bucket", "x", "y", "z"])
+
+
+def _of(table: pa.Table, name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in a column of packed rows, and where each row's begin."""
+    values = [np.frombuffer(v, kind) for v in table.column(name).to_pylist()]
+    return np.concatenate(values), np.concatenate([[0], np.cumsum(list(map(len, values)))])
+
+
+def _pack(n: int):
+    """For rows (doc_id, text, h): a packed row for each chunk of documents (doc_id, h, number of grams), and for each of its buckets (place of the document in the chunk, 32 bits of gram)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for s in range(0, batch.num_rows, PACK_ROWS):
+                for part in chunks(batch.slice(s, PACK_ROWS), 1, PACK):
+                    g, offsets = grams(Words(part.column(1)), n)
+                    if not len(g):
+                        continue
+                    size = np.diff(offsets)
+                    bucket = (g >> np.uint64(55)).astype(np.int16)
+                    by = np.argsort(bucket, kind="stable")
+                    doc = np.repeat(np.arange(len(size), dtype=np.uint16), size)[by]
+                    low = (g[by] >> np.uint64(23)).astype(np.uint32)
+                    cut = np.searchsorted(bucket[by], np.arange(BUCKETS + 1))
+                    none = np.zeros(0, np.uint8)
+                    rows = [(chunk, -1 - chunk % BUCKETS, part.column(0).to_numpy(), part.column(2).to_numpy(), size.astype(np.int32))]
+                    rows += [(chunk, k, doc[a:b], low[a:b], none) for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if a < b]
+                    yield _packed(rows)
+                    chunk += 1
+
+    return run
+
+
+def _count(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """For packed rows that begin with their bucket and are sorted by it: the same with those grams only that another document has too, and in z a measure of how many have them."""
+    for s, e in zip(*bounds(table, 1)):
+        own = table.slice(s, e - s)
+        if own.column("bucket")[0].as_py() < 0:
+            yield from own.select(["chunk", "bucket", "x", "y", "z"]).to_batches()
+            continue
+        low, at = _of(own, "y", np.uint32)
+        doc, _ = _of(own, "x", np.uint16)
+        ordered = np.sort(low)
+        head = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
+        count = np.diff(head)
+        shared, count = ordered[head[:-1]][count > 1], count[count > 1]
+        if not len(shared):
+            continue
+        spot = np.minimum(np.searchsorted(shared, low), len(shared) - 1)
+        hit = np.flatnonzero(shared[spot] == low)
+        often = np.minimum(8 * np.log2(count), 255).astype(np.uint8)[spot[hit]]
+        cut = np.searchsorted(hit, at)
+        doc, low = doc[hit], low[hit]
+        rows = [(c, k, doc[a:b], low[a:b], often[a:b]) for c, k, a, b in zip(own.column("chunk").to_pylist(), own.column("bucket").to_pylist(), cut[:-1].tolist(), cut[1:].tolist()) if a < b]
+        yield _packed(rows)
+
+
+def _prefixes(threshold: float):
+    """For the rows of _count sorted by chunk: (doc_id, h, bands), the grams of a document one of which any partner shares. Documents without such grams have no row."""
+
+    def fn(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for s, e in zip(*bounds(table, 1)):
+            own = table.slice(s, e - s)
+            bucket = own.column("bucket").to_numpy()
+            head, body = own.slice(int(np.flatnonzero(bucket < 0)[0]), 1), own.take(pa.array(np.flatnonzero(bucket >= 0)))
+            if not body.num_rows:
+                continue
+            size = _of(head, "z", np.int32)[0]
+            doc, at = _of(body, "x", np.uint16)
+            gram = np.repeat(body.column("bucket").to_numpy().astype(np.int64), np.diff(at)) << 32 | _of(body, "y", np.uint32)[0]
+            often = _of(body, "z", np.uint8)[0]
+            # A set's grams that no other has come first in its order, so of those that are shared so many are left.
+            have = np.bincount(doc, minlength=len(size))
+            least = np.maximum(1, np.ceil(threshold * size - 1e-9)).astype(np.int64)
+            take = np.where(size > 0, np.maximum(have - least + 1, 0), 0)
+            keep = take[doc] > 0
+            doc, gram, often = doc[keep], gram[keep], often[keep]
+            by = np.lexsort((gram, often, doc))
+            first = np.searchsorted(doc[by], np.arange(len(size)))
+            some = np.flatnonzero(take)
+            if not len(some):
+                continue
+            bands = gram[by][ranges(first[some], take[some])]
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(take[some])]).astype(np.int32), pa.array(bands))
+            yield pa.RecordBatch.from_arrays([pa.array(_of(head, k, np.int64)[0][some]) for k in ("x", "y")] + [lists], ["doc_id", "h", "bands"])
+
+    return by_group(1, fn)
+
+
+class Bitmaps:
+    """Bitmaps and sizes of gram sets, for upper bounds of their similarity."""
+
+    def __init__(self, bits: pa.Array | pa.ChunkedArray, size: np.ndarray):
+        rows = bits.to_pylist()
+        self.words = np.frombuffer(b"".join(rows), np.uint64)
+        self.width = np.fromiter(map(len, rows), np.int64, len(rows)) // 8
+        self.at = np.cumsum(self.width) - self.width
+        self.size = size.astype(np.int64)
+
+    def may_reach(self, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+        """Which of the pairs (i, j) may have at least this similarity. A bit that only one of two sets has set stands for at least one gram that only it has."""
+        i, j = np.broadcast_arrays(i, j)
+        a, b = self.size[i], self.size[j]
+        out = np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9
+        left = np.flatnonzero(out)
+        widths = self.width[i[left]] << 32 | self.width[j[left]]
+        for pair in np.unique(widths).tolist():
+            every = left[widths == pair]
+            narrow = min(pair >> 32, pair & 0xFFFFFFFF)
+            step = max(1, (1 << 20) // max(pair >> 32, pair & 0xFFFFFFFF))
+            for s in range(0, len(every), step):
+                k = every[s : s + step]
+                x, y = self._rows(i[k], narrow), self._rows(j[k], narrow)
+                most = np.minimum(a[k] - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), b[k] - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+                out[k] = most >= threshold * (a[k] + b[k] - most) - 1e-9
+        return out
+
+    def _rows(self, i: np.ndarray, narrow: int) -> np.ndarray:
+        """A matrix of bitmaps of one width, folded to a narrower one."""
+        width = int(self.width[i[0]])
+        rows = self.words[self.at[i][:, None] + np.arange(width)]
+        return np.bitwise_or.reduce(rows.reshape(len(i), width // narrow, narrow), axis=1) if width > narrow else rows
+
+
 def _alike(sketch: np.ndarray, others: np.ndarray, least: float) -> np.ndarray:
     """Which of the others agree with the sketch (or row by row, with as many) in at least this share of lanes, after correction for chance."""
     share = ((sketch == others).sum(axis=-1, dtype=np.int16) / others.shape[-1] - 1 / 256) / (1 - 1 / 256)
     return share >= least
 
 
-def band_links(sketches: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links (i, j) that connect all members of a band which are connected through agreeing sketches.
+def band_links(sketches: np.ndarray, least: float, alike=_alike) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) that connect all members of a band which are connected through sketches that are alike.
 
     Every member is compared with all that nothing has reached yet, so a band of documents that
     are alike costs linear time, and one of documents that are not costs quadratic time.
@@ -95,7 +226,7 @@ def band_links(sketches: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarr
         if not queue:
             queue, rest = [int(rest[0])], rest[1:]
         k = queue.pop()
-        near = np.concatenate([_alike(sketches[k], sketches[rest[s : s + 8192]], least) for s in range(0, len(rest), 8192)] or [np.zeros(0, bool)])
+        near = np.concatenate([alike(sketches[k], sketches[rest[s : s + 8192]], least) for s in range(0, len(rest), 8192)] or [np.zeros(0, bool)])
         found = rest[near]
         if len(found):
             to.append(np.full(len(found), k))
@@ -106,21 +237,23 @@ def band_links(sketches: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([none, *to]), np.concatenate([none, *of])
 
 
-def _links(least: float):
-    """For rows (band, x, y, doc_id, sketch) sorted by the first three: the links (a, b) of each of these groups."""
+def _links(threshold: float):
+    """For rows (band, x, y, doc_id, n, bits) sorted by the first three: the links (a, b) of each of these groups."""
 
     def link(table: pa.Table) -> Iterator[pa.RecordBatch]:
         ids = table.column("doc_id").to_numpy()
-        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+        sets = Bitmaps(table.column("bits"), table.column("n").to_numpy())
         first, end = bounds(table, 3)
         same = np.ones(len(ids) - 1, bool)
         same[first[1:] - 1] = False
-        near = same & _alike(sketches[1:], sketches[:-1], least)
+        near = np.zeros(len(ids), bool)
+        next_to = np.flatnonzero(same)
+        near[next_to] = sets.may_reach(next_to, next_to + 1, threshold)
         i, j = [np.flatnonzero(near)], [np.flatnonzero(near) + 1]
         # Where all neighbours agree, the chain connects the band; two that do not are no pair.
         for s, e in zip(first, end):
             if e - s > 2 and not near[s : e - 1].all():
-                x, y = band_links(sketches[s:e], least)
+                x, y = band_links(np.arange(s, e), threshold, sets.may_reach)
                 i.append(x + s)
                 j.append(y + s)
         a, b = ids[np.concatenate(i)], ids[np.concatenate(j)]
@@ -254,29 +387,35 @@ class _Join:
         self.work = work = Workspace(docs.sparkSession)
         self.threshold = threshold
         text = _texts(docs)
-        self.sketches = work.save(text.mapInArrow(_sketch(n), "doc_id bigint, h bigint, one bigint, two bigint, bands array<bigint>, sketch binary"), "sketches")
+        self.sketches = work.save(text.mapInArrow(_sketch(n), "doc_id bigint, h bigint, one bigint, two bigint, n int, bits binary"), "sketches")
         least = F.min(F.struct("h", "one", "two")).alias("k")
         #: One row for each doc_id with words, whatever repeats.
         self.members = self.sketches.groupBy("doc_id").agg(least).select("doc_id", "k.*")
         self.classes = work.save(self.members.groupBy("one", "two").agg(F.min(F.struct("doc_id", "h")).alias("k"), F.count("*").alias("copies")).select("one", "two", "k.*", "copies"), "classes")
-        member = self._blocks()
+        member = self._blocks(text, n)
         size = member.groupBy("block").agg(F.count("*").alias("docs"))
         member = member.join(size, "block").join(self.classes, "doc_id").select("doc_id", "h", "copies", "block", *part_of(F.col("docs"), "doc_id", PART_DOCS))
         rows = text.hint("merge").join(member, ["doc_id", "h"]).select("block", F.explode(meeting(F.col("parts"), F.col("part"))).alias("t"), "part", "doc_id", "copies", "text")
         rows = rows.select("block", "t.x", "t.y", "part", "doc_id", "copies", "text").repartition("block", "x", "y").sortWithinPartitions("block", "x", "y")
         self.found = rows.mapInArrow(_search(n, threshold, pairs), "doc_a bigint, doc_b bigint, jaccard double" if pairs else "a bigint, b bigint, links bigint")
 
-    def _blocks(self) -> DataFrame:
+    def _prefixes(self, text: DataFrame, n: int) -> DataFrame:
+        """Rows (doc_id, h, bands) of all texts that may have a partner."""
+        packed = text.mapInArrow(_pack(n), _PACKED).select("bucket", "chunk", "x", "y", "z").repartition("bucket").sortWithinPartitions("bucket")
+        shared = packed.mapInArrow(by_group(1, _count), _PACKED).repartition("chunk").sortWithinPartitions("chunk")
+        return self.work.save(shared.mapInArrow(_prefixes(self.threshold), "doc_id bigint, h bigint, bands array<bigint>"), "prefixes")
+
+    def _blocks(self, text: DataFrame, n: int) -> DataFrame:
         """Rows (doc_id, block) of the representatives that may have a partner."""
-        own = self.sketches.join(self.classes.select("doc_id", "h"), ["doc_id", "h"])
+        own = self._prefixes(text, n).join(self.classes.select("doc_id", "h"), ["doc_id", "h"])
         bands = own.select("doc_id", F.explode("bands").alias("band")).repartition("band")
         # Bands of the same members count once.
         size = bands.groupBy("band").agg(F.count("*").alias("docs"), F.bit_xor(F.xxhash64("doc_id")).alias("of"), F.sum(F.col("doc_id").cast("decimal(38,0)")).alias("total")).where("docs > 1")
         kept = size.groupBy("docs", "of", "total").agg(F.min("band").alias("band")).select("band", "docs")
         member = bands.join(kept, "band").select("doc_id", "band", *part_of(F.col("docs"), "doc_id", PART_DOCS))
-        rows = member.join(self.sketches.join(self.classes.select("doc_id", "h"), ["doc_id", "h"]).select("doc_id", "sketch"), "doc_id")
-        rows = rows.select("band", F.explode(meeting(F.col("parts"), F.col("part"))).alias("t"), "doc_id", "sketch").select("band", "t.x", "t.y", "doc_id", "sketch")
-        links = rows.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y").mapInArrow(_links(self.threshold - SLACK), "a bigint, b bigint")
+        rows = member.join(self.sketches.join(self.classes.select("doc_id", "h"), ["doc_id", "h"]).select("doc_id", "n", "bits"), "doc_id")
+        rows = rows.select("band", F.explode(meeting(F.col("parts"), F.col("part"))).alias("t"), "doc_id", "n", "bits").select("band", "t.x", "t.y", "doc_id", "n", "bits")
+        links = rows.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y").mapInArrow(_links(self.threshold), "a bigint, b bigint")
         return self.work.save(components(links).select(F.col("key").alias("doc_id"), F.col("cluster").alias("block")), "blocks")
 
 
@@ -296,7 +435,7 @@ def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
 
 def members(docs: DataFrame, n: int = N) -> DataFrame:
     """Rows (doc_id, representative) of all documents with words, as in jaccard_pairs."""
-    sketches = Workspace(docs.sparkSession).save(_texts(docs).mapInArrow(_sketch(n), "doc_id bigint, h bigint, one bigint, two bigint, bands array<bigint>, sketch binary").drop("bands", "sketch"), "members")
+    sketches = Workspace(docs.sparkSession).save(_texts(docs).mapInArrow(_sketch(n), "doc_id bigint, h bigint, one bigint, two bigint, n int, bits binary").drop("n", "bits"), "members")
     own = sketches.groupBy("doc_id").agg(F.min(F.struct("h", "one", "two")).alias("k")).select("doc_id", "k.*")
     return own.join(own.groupBy("one", "two").agg(F.min("doc_id").alias("representative")), ["one", "two"]).select("doc_id", "representative")
 

@@ -361,6 +361,44 @@ def test_jaccard_join_in_a_crowd(spark):
     assert pairs <= got
 
 
+def test_jaccard_join_loses_no_pair(spark):
+    """Of 2,000 pairs that just reach the threshold, and of sets of every size that share much, none is left out."""
+    draw = random.Random(8)
+    texts = []
+    for k in range(2000):
+        own = [f"w{k}x{i}" for i in range(12)]
+        texts += [" ".join(own[:10]), " ".join(own[:8] + own[10:])]  # 6 of 10 grams
+    many = len(texts)
+    for k in range(300):
+        base = prose(9000 + k, draw.choice((3, 7, 40, 300, 3000))).split()
+        for _ in range(2):
+            texts.append(" ".join(w if draw.random() > 0.08 else "other" for w in base[: draw.randrange(len(base) * 7 // 10, len(base) + 1)]))
+    got = {(r.doc_a, r.doc_b) for r in jaccard_join.jaccard_pairs(docs(spark, texts)).collect()}
+    assert {p for p in got if p[1] < many} == {(2 * k, 2 * k + 1) for k in range(2000)}
+    known = {r.doc_id: r.representative for r in jaccard_join.members(docs(spark, texts)).collect()}
+    want = {(a + many, b + many) for a, b in brute_pairs(texts[many:])}
+    assert {p for p in got if p[0] >= many} == {p for p in want if all(known[d] == d for d in p)}
+
+
+def test_bitmaps_rule_out_no_pair():
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(5)
+    base = draw.integers(0, 2**64, 30_000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[:k][draw.random(k) < 0.85], draw.integers(0, 2**64, k // 20, dtype=np.uint64)])) for k in (1, 2, 9, 10, 60, 70, 500, 600, 9_000, 20_000, 30_000) for _ in range(3)]
+    sets = [s if len(s) else base[:1] for s in sets]
+    size = np.array(list(map(len, sets)))
+    data, at = jaccard_join.bitmaps(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]))
+    held = jaccard_join.Bitmaps(pa.array([data[s:e].tobytes() for s, e in zip(at[:-1], at[1:])]), size)
+    i, j = np.triu_indices(len(sets), 1)
+    same = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    true = same / (size[i] + size[j] - same)
+    for threshold in (0.3, 0.6, 0.9):
+        may = held.may_reach(i, j, threshold)
+        assert may[true >= threshold].all() and not may[true < threshold / 3].any() and (true >= threshold).any()
+
+
 def test_band_links():
     import numpy as np
 
