@@ -7,7 +7,7 @@ neighbours join the agenda, until it is empty. What is no piece then goes as byt
 
 A piece of such a vocabulary has U+2581 only at its start. A merge therefore never crosses
 from a character to a following U+2581, so a text falls into segments (a run of U+2581 and
-the characters after it) that are encoded one by one, and each distinct segment of a task
+the characters after it) that are encoded one by one, and each distinct segment of a batch
 once. Segments of equal length are merged together: their agendas are the rows of one
 matrix of priorities, and a round takes the best of every row. Long segments, and those with
 characters that the vocabulary lacks, have a heap each.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import sys
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -31,12 +32,10 @@ from pyspark.sql import functions as F
 from corpusloom.functions.kernels import buffers, ranges, runs
 
 SPACE = "▁"
-#: Distinct segments that a worker remembers, twice: when there are more, those of the time before go. It only saves time.
-REMEMBER = 150_000
 #: Longer segments have an agenda of their own.
 LONG = 48
-#: Bytes of text whose tokens are put together.
-BATCH = 1 << 20
+#: Bytes of text whose distinct segments are encoded together, and of text that is compared together.
+BATCH, COMPARED = 2 << 20, 1 << 19
 
 _NEVER = np.int32(2**31 - 1)
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -122,24 +121,35 @@ class Vocabulary:
         at = np.searchsorted(self.pair, key)
         return np.where(self.pair[at] == key, self.priority[at], _NEVER), self.union[at]
 
-    def segments(self, texts: list[str]) -> list[bytes]:
-        """The numbers of the pieces of many escaped segments, as int32 bytes each."""
-        out: list[bytes] = [b""] * len(texts)
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    def segments(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the pieces of many escaped segments, given as code points and lengths, and how many each has."""
         begin = np.cumsum(sizes) - sizes
-        symbol = self.symbol_of[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        for n in np.unique(sizes[(sizes > 0) & (sizes <= LONG)]).tolist():
+        symbol = self.symbol_of[points]
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # segments, and a matrix of their numbers
+        left = sizes > 0
+
+        def text(k: int) -> str:
+            return points[begin[k] : begin[k] + sizes[k]].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+
+        for n in np.unique(sizes[left & (sizes <= LONG)]).tolist():
             every = np.flatnonzero(sizes == n)
             for s in range(0, len(every), 1 << 15):
-                own = every[s : s + (1 << 15)]
-                self._merge(own, symbol[begin[own, None] + np.arange(n)], texts, out)
-        for k in np.flatnonzero(sizes > 0).tolist():
-            if not out[k]:
-                out[k] = np.array(self.segment(texts[k]), np.int32).tobytes()
-        return out
-
-    def _merge(self, rows: np.ndarray, symbols: np.ndarray, texts: list[str], out: list[bytes]) -> None:
-        """Merge the rows of a matrix of symbols, one pair of each in a round, into out. Characters that the vocabulary lacks are -1, in no pair; rows with a character that only longer pieces have are left."""
+                self._merge(every[s : s + (1 << 15)], symbol[begin[every[s : s + (1 << 15)], None] + np.arange(n)], text, found)
+        for rows, _ in found:
+            left[rows] = False
+        for k in np.flatnonzero(left).tolist():
+            found.append((np.array([k]), np.array([self.segment(text(k))], np.int32)))
+        count = np.zeros(len(sizes), np.int64)
+        for rows, numbers in found:
+            count[rows] = numbers.shape[1]
+        start = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.int32)
+        for rows, numbers in found:
+            out[start[rows][:, None] + np.arange(numbers.shape[1])] = numbers
+        return out, count
+
+    def _merge(self, rows: np.ndarray, symbols: np.ndarray, text: Callable[[int], str], found: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Merge the rows of a matrix of symbols, one pair of each in a round, into found. Characters that the vocabulary lacks are -1, in no pair; rows with a character that only longer pieces have are left."""
         keep = (symbols < len(self.pieces)).all(axis=1)
         rows, symbols = rows[keep], symbols[keep]
         agenda, union = self._look_up(symbols[:, :-1], symbols[:, 1:])
@@ -148,23 +158,22 @@ class Vocabulary:
             best = agenda.argmin(axis=1) if width > 1 else np.zeros(len(rows), np.int64)
             each = np.arange(len(rows))
             more = agenda[each, best] != _NEVER if width > 1 else np.zeros(len(rows), bool)
-            done = np.flatnonzero(~more)
-            raw = symbols[done].tobytes()
-            for k, row in enumerate(rows[done].tolist()):
-                out[row] = raw[4 * width * k : 4 * width * (k + 1)]
-            for k in done[(symbols[done] < 0).any(axis=1)].tolist():
-                lacking = iter([c for c in texts[rows[k]] if self.symbol_of[ord(c)] < 0])
-                out[rows[k]] = np.array([i for x in symbols[k].tolist() for i in ((x,) if x >= 0 else self._raw(next(lacking)))], np.int32).tobytes()
-            rows, symbols, agenda, union, best = rows[more], symbols[more], agenda[more], union[more], best[more]
+            if not more.all():
+                done, numbers = rows[~more], symbols[~more]
+                whole = (numbers >= 0).all(axis=1)
+                found.append((done[whole], numbers[whole]))
+                for k in np.flatnonzero(~whole).tolist():
+                    lacking = iter([c for c in text(done[k]) if self.symbol_of[ord(c)] < 0])
+                    found.append((done[k : k + 1], np.array([[i for x in numbers[k].tolist() for i in ((x,) if x >= 0 else self._raw(next(lacking)))]], np.int32)))
+                rows, symbols, agenda, union, best = rows[more], symbols[more], agenda[more], union[more], best[more]
+                each = each[: len(rows)]
             if not len(rows):
                 return
-            each = np.arange(len(rows))
             symbols[each, best] = union[each, best]
-            column = np.arange(width - 1)
-            symbols = np.take_along_axis(symbols, column + (column > best[:, None]), axis=1)
-            column = np.arange(width - 2)
-            shift = column + (column >= best[:, None])
-            agenda, union = np.take_along_axis(agenda, shift, axis=1), np.take_along_axis(union, shift, axis=1)
+            # One column goes from each row: what stands after the merged pair moves up.
+            symbols = symbols[np.arange(width) != best[:, None] + 1].reshape(len(rows), width - 1)
+            gone = np.arange(width - 1) != best[:, None]
+            agenda, union = agenda[gone].reshape(len(rows), width - 2), union[gone].reshape(len(rows), width - 2)
             for at, some in ((best - 1, best > 0), (best, best < width - 2)):
                 r, c = np.flatnonzero(some), at[some]
                 agenda[r, c], union[r, c] = self._look_up(symbols[r, c], symbols[r, c + 1])
@@ -209,12 +218,10 @@ class Vocabulary:
 
 
 class Codec:
-    """Encoder and decoder of one model, with its memory of segments and the library."""
+    """Encoder and decoder of one model, with the library."""
 
     def __init__(self, model: bytes, checked: bool = True):
         self.vocabulary = Vocabulary(model)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.library = None
         if checked:
             import sentencepiece
@@ -227,8 +234,6 @@ class Codec:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all texts, and the offsets of each text's; null is as empty."""
-        if len(self.known) > REMEMBER:
-            self.known, self.older = {}, self.known
         column = pc.fill_null(column, "").cast(pa.large_string())
         none, front = (pa.scalar(x, pa.large_string()) for x in ("", " " if self.vocabulary.dummy else ""))
         flat = pc.if_else(pc.equal(column, none), none, pc.binary_join_element_wise(front, pc.replace_substring(column, SPACE, " "), none))
@@ -241,30 +246,20 @@ class Codec:
         begin[offsets] = True
         at = np.flatnonzero(begin)
         segments = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        rows = self._numbers(segments.dictionary.to_pylist())
-        size = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+        own, _ = buffers(segments.dictionary)
+        points = np.frombuffer(own.tobytes().decode().encode("utf-32-le"), np.uint32)
+        numbers, size = self.vocabulary.segments(np.where(points == 32, np.uint32(ord(SPACE)), points), pc.utf8_length(segments.dictionary).to_numpy().astype(np.int64))
         index = segments.indices.to_numpy()
-        ids = np.frombuffer(b"".join(rows), np.int32)[ranges((np.cumsum(size) - size)[index], size[index])]
+        ids = numbers[ranges((np.cumsum(size) - size)[index], size[index])]
         return ids, np.concatenate([[0], np.cumsum(size[index])])[np.searchsorted(at, offsets)]
 
-    def _numbers(self, segments: list[str]) -> list[bytes]:
-        """The numbers of distinct segments, as int32 bytes each."""
-        rows = list(map(self.known.get, segments))
-        new = [k for k, x in enumerate(rows) if x is None]
-        fresh = []
-        for k in new:
-            rows[k] = self.older.get(segments[k])
-            if rows[k] is None:
-                fresh.append(k)
-        for k, x in zip(fresh, self.vocabulary.segments([segments[k].replace(" ", SPACE) for k in fresh])):
-            rows[k] = x
-        self.known.update((segments[k], rows[k]) for k in new)
-        return rows
-
     def agree(self, column: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> list[bool]:
         """Whether the library gives the same numbers for each whole text."""
-        theirs = self.library.encode([t or "" for t in column.to_pylist()], num_threads=1)
-        return [x == ids[s:e].tolist() for x, s, e in zip(theirs, offsets[:-1].tolist(), offsets[1:].tolist())]
+        out: list[bool] = []
+        for first, end in runs(column, COMPARED):
+            theirs = self.library.encode([t or "" for t in column.slice(first, end - first).to_pylist()], num_threads=1)
+            out += [x == ids[s:e].tolist() for x, s, e in zip(theirs, offsets[first:end].tolist(), offsets[first + 1 : end + 1].tolist())]
+        return out
 
     def _bytes(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes that numbers stand for, without the space in front, and their offsets by text."""
@@ -282,6 +277,10 @@ class Codec:
 
     def round_trip(self, column: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Whether the numbers stand for the text again."""
+        parts = [self._same(column.slice(s, e - s), ids[offsets[s] : offsets[e]], offsets[s : e + 1] - offsets[s]) for s, e in runs(column, COMPARED)]
+        return np.concatenate([np.zeros(0, bool), *parts])
+
+    def _same(self, column: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         data, at = self._bytes(ids, offsets)
         text, own = buffers(column)
         same = np.diff(at) == np.diff(own)

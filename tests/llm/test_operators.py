@@ -284,6 +284,20 @@ def test_sentencepiece(spark, odd, empty):
     assert spm.encode_documents(empty, SPM_MODEL).count() == 0
 
 
+def test_sentencepiece_holds_no_text_between_batches():
+    """A codec's memory doesn't grow with what it has read, and batches of new words are the library's."""
+    import pyarrow as pa
+
+    own = spm.codec(open(SPM_MODEL, "rb").read())
+    state = lambda: {k: len(v) for k, v in {**vars(own), **vars(own.vocabulary)}.items() if hasattr(v, "__len__")}
+    before = state()
+    for k in range(3):
+        column = pa.array([" ".join(f"{w}{k}x{i} ж漢🎉{i}" for i, w in enumerate(prose(k, 3000).split())), None, "", "y" * 200, "  two  spaces "])
+        ids, cuts = own.encode(column)
+        assert all(own.agree(column, ids, cuts)) and own.round_trip(column, ids, cuts).all()
+    assert state() == before
+
+
 def brute_pairs(texts, n=3, threshold=0.6):
     sets = []
     for t in texts:
