@@ -98,10 +98,10 @@ def _pack(n: int):
         for batch in batches:
             for s in range(0, batch.num_rows, PACK_ROWS):
                 for part in chunks(batch.slice(s, PACK_ROWS), 1, PACK):
-                    g, offsets = grams(Words(part.column(1)), n)
+                    sets = [grams(Words(p.column(1)), n) for p in chunks(part)]
+                    g, size = np.concatenate([x for x, _ in sets]), np.concatenate([np.diff(at) for _, at in sets])
                     if not len(g):
                         continue
-                    size = np.diff(offsets)
                     bucket = (g >> np.uint64(55)).astype(np.int16)
                     by = np.argsort(bucket, kind="stable")
                     doc = np.repeat(np.arange(len(size), dtype=np.uint16), size)[by]

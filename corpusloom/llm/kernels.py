@@ -24,9 +24,10 @@ def _word_table() -> np.ndarray:
     table = np.zeros(sys.maxunicode + 1, bool)
     for c in range(sys.maxunicode + 1):
         table[c] = c == 95 or unicodedata.category(chr(c))[0] in "LN"
-    points = np.array([c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000])
-    lower = np.array([ord(x) for x in pc.utf8_lower(pa.array([chr(c) for c in points])).to_pylist()])
-    table[points] |= table[lower]  # a letter that only Arrow's newer tables know
+    for s in range(0, sys.maxunicode + 1, 1 << 14):  # all at once would be 200 MB of objects in each worker
+        points = np.array([c for c in range(s, s + (1 << 14)) if not 0xD800 <= c < 0xE000], np.int64)
+        lower = np.array([ord(x) for x in pc.utf8_lower(pa.array([chr(c) for c in points], pa.string())).to_pylist()], np.int64)
+        table[points] |= table[lower]  # a letter that only Arrow's newer tables know
     return table
 
 

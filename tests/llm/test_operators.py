@@ -298,6 +298,18 @@ def test_sentencepiece_holds_no_text_between_batches():
     assert state() == before
 
 
+def test_word_table_is_made_in_little_memory():
+    import tracemalloc
+
+    from corpusloom.llm import kernels
+
+    tracemalloc.start()
+    table = kernels._word_table.__wrapped__()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (table == kernels._word_table()).all() and most < 20 << 20
+
+
 def brute_pairs(texts, n=3, threshold=0.6):
     sets = []
     for t in texts:
