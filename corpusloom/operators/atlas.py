@@ -6,15 +6,22 @@ are of unit vectors. Sums of regions are small; vectors are read once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.groups import bounds, by_group, meeting, part_of
+
 OFF = -1
 CUTOFF = 0.278
 #: Bytes of centroids that may be sent to every task; more are joined in lots.
 SEND_BYTES = 64 << 20
+#: Larger buckets of vectors are cut into parts of about so many; of a part so many rows at once are compared with others.
+BUCKET_PART, STRIPE = 8192, 256
 
 
 def unit(v: Column) -> Column:
@@ -152,27 +159,78 @@ def examples(placed: DataFrame, k: int = 2) -> DataFrame:
     return placed.where(F.col("region") != OFF).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("region", "vec_id", "score")
 
 
+def _signs(bits: int) -> Column:
+    """The signs of the first `bits` dimensions as a number; null where one is null."""
+    return F.aggregate(F.transform(F.slice("embedding", 1, bits), lambda x: (x > 0).cast("int")), F.lit(0), lambda s, x: s * 2 + x)
+
+
+def _alike(cosine: float):
+    """For rows (bucket, x, y, part, vec_id, embedding): pairs (a < b, cosine) that may reach `cosine` when rounded, a stripe of rows at a time."""
+
+    def met(ids: np.ndarray, v: np.ndarray, part: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        left = np.arange(len(ids)) if part is None else np.flatnonzero(part == part.min())
+        right = left if part is None else np.flatnonzero(part != part.min())
+        across = np.ascontiguousarray(v[right].T)
+        for s in range(0, len(left), STRIPE):
+            own = left[s : s + STRIPE]
+            first = s if part is None else 0  # pairs with rows before are done
+            c = v[own] @ across[:, first:]
+            i, j = np.nonzero(~(c < cosine - 1e-6))  # NaN is above all numbers
+            if part is None:
+                later = j > i
+                i, j = i[later], j[later]
+            if len(i):
+                a, b = ids[own[i]], ids[right[first + j]]
+                other = a != b
+                yield pa.RecordBatch.from_arrays([pa.array(x[other]) for x in (np.minimum(a, b), np.maximum(a, b), c[i, j])], ["a", "b", "cosine"])
+
+    def each(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        x, y, part, ids = (table.column(k).to_numpy() for k in ("x", "y", "part", "vec_id"))
+        vectors = table.column("embedding").combine_chunks()
+        long = pc.list_value_length(vectors).to_numpy()
+        for s, e in zip(*bounds(table, 3)):
+            for dimensions in np.unique(long[s:e]):  # vectors of other lengths have no cosine
+                at = s + np.flatnonzero(long[s:e] == dimensions)
+                both = part[at] if x[s] != y[s] else None
+                if both is None or (both != both[0]).any():
+                    yield from met(ids[at], _matrix(vectors.take(pa.array(at))), both)
+
+    return each
+
+
 def semantic_pairs(vectors: DataFrame, bits: int = 12, cosine: float = 0.95) -> DataFrame:
-    """Pairs (a < b, cosine) of vectors with the same signs in the first `bits` dimensions and a cosine that reaches `cosine`."""
-    signs = F.aggregate(F.transform(F.slice("embedding", 1, bits), lambda x: (x > 0).cast("int")), F.lit(0), lambda s, x: s * 2 + x)
-    rows = vectors.select("vec_id", signs.alias("bucket"), unit(F.col("embedding")).alias("v"))
-    a, b = rows.select("bucket", F.col("vec_id").alias("a"), F.col("v").alias("va")), rows.select("bucket", F.col("vec_id").alias("b"), F.col("v").alias("vb"))
-    return a.join(b, "bucket").where("a < b").select("a", "b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("cosine")).where(F.col("cosine") >= cosine)
+    """Pairs (a < b, cosine) of vectors with the same signs in the first `bits` dimensions and a cosine that reaches `cosine`. All pairs of a bucket are looked at, by products of matrices: large buckets are cut into parts, every two of which meet in a group of their own."""
+    rows = vectors.where(~F.exists("embedding", lambda x: x.isNull())).select(F.col("vec_id").cast("bigint"), _signs(bits).alias("bucket"), "embedding").where("vec_id IS NOT NULL AND bucket IS NOT NULL")
+    size = rows.groupBy("bucket").agg(F.count("*").alias("vectors")).where("vectors > 1")
+    member = rows.join(F.broadcast(size), "bucket").select("bucket", "vec_id", "embedding", *part_of(F.col("vectors"), "vec_id", BUCKET_PART))
+    met = member.select("bucket", F.explode(meeting(F.col("parts"), F.col("part"))).alias("t"), "part", "vec_id", "embedding").select("bucket", "t.x", "t.y", "part", "vec_id", "embedding")
+    pairs = met.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(by_group(3, _alike(cosine)), "a bigint, b bigint, cosine double")
+    return pairs.select("a", "b", F.round("cosine", 6).alias("cosine")).where(F.col("cosine") >= cosine)
 
 
 def semantic_keepers(vectors: DataFrame, bits: int = 12, cosine: float = 0.95) -> DataFrame:
     """(vec_id) that a greedy pass keeps: in each bucket of equal signs, by vec_id, what is not that like one kept before."""
-    signs = F.aggregate(F.transform(F.slice("embedding", 1, bits), lambda x: (x > 0).cast("int")), F.lit(0), lambda s, x: s * 2 + x)
 
     def greedy(table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id")
         v = _matrix(table.column("embedding").combine_chunks())
         kept = np.zeros(len(v), bool)
-        for i in range(len(v)):
-            kept[i] = not kept[:i].any() or (v[:i][kept[:i]] @ v[i]).max() < cosine
+        held = np.empty_like(v)
+        n = 0
+        for s in range(0, len(v), STRIPE):
+            own = v[s : s + STRIPE]
+            free = np.ones(len(own), bool)
+            for k in range(0, n, BUCKET_PART):  # against those kept before the stripe
+                rest = np.flatnonzero(free)
+                free[rest] = (own[rest] @ held[k : min(k + BUCKET_PART, n)].T < cosine).all(axis=1)
+            near = ~(own @ own.T < cosine)
+            for i in np.flatnonzero(free):
+                kept[s + i] = free[i] = not near[i, :i][free[:i]].any()
+            held[n : n + free.sum()] = own[free]
+            n += int(free.sum())
         return pa.table({"vec_id": table.column("vec_id").filter(pa.array(kept))})
 
-    return vectors.select("vec_id", "embedding", signs.alias("bucket")).groupBy("bucket").applyInArrow(greedy, "vec_id bigint")
+    return vectors.select("vec_id", "embedding", _signs(bits).alias("bucket")).groupBy("bucket").applyInArrow(greedy, "vec_id bigint")
 
 
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:

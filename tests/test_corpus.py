@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -140,3 +141,20 @@ def test_sniffing_and_extraction():
 def test_contract(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_semantic_pairs_in_parts(spark, monkeypatch):
+    """Buckets cut into parts, and these into stripes, lose no pair and give none twice."""
+    monkeypatch.setattr(atlas, "BUCKET_PART", 20)
+    monkeypatch.setattr(atlas, "STRIPE", 7)
+    draw = random.Random(3)
+    rows = [(k, [draw.gauss(0, 1) for _ in range(6)]) for k in range(150)] + [(150, [0.0] * 6), (151, None), (152, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (153, [1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    v = {k: np.array(x) / (np.linalg.norm(x) or 1) for k, x in rows[:151]}
+    near = lambda a, b: ((v[a][:2] > 0) == (v[b][:2] > 0)).all() and v[a] @ v[b] >= 0.8
+    want = [(a, b) for a in v for b in v if a < b and near(a, b)]
+    assert sorted((r.a, r.b) for r in atlas.semantic_pairs(table, 2, 0.8).collect()) == want
+    kept: list[int] = []
+    for k in v:
+        kept += [k] if not any(near(j, k) for j in kept) else []
+    assert sorted(r.vec_id for r in atlas.semantic_keepers(table.where("vec_id < 151"), 2, 0.8).collect()) == kept
