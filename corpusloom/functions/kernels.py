@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -125,3 +127,81 @@ def repeated_share(column: pa.Array, n: int) -> np.ndarray:
         different = np.bincount(text, minlength=e - s)
         out.append(np.where(np.diff(first) >= 2 * n, 1 - different / np.maximum(have, 1), 0.0))
     return np.concatenate(out) if out else np.zeros(0)
+
+
+_MD5_ADD = [np.uint32(int(abs(math.sin(k + 1)) * 2**32)) for k in range(64)]
+_MD5_TURN = [np.uint32(s) for turns in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for s in turns * 4]
+_MD5_WORD = [k if k < 16 else (5 * k + 1) % 16 if k < 32 else (3 * k + 5) % 16 if k < 48 else 7 * k % 16 for k in range(64)]
+_MD5_FIRST = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+#: Messages that are hashed together, so that their state stays in the cache; messages of more blocks of 64 bytes are hashed one by one.
+_MD5_LOT, _MD5_BLOCKS = 16384, 4
+#: By number of blocks, for each length: what of a message's bytes is kept, and the bit that follows them.
+_MD5_KEPT = {n: np.where(np.arange(64 * n) < np.arange(64 * n)[:, None], 255, 0).astype(np.uint8) for n in range(1, _MD5_BLOCKS + 1)}
+_MD5_END = {n: np.diag(np.full(64 * n, 0x80, np.uint8)) for n in range(1, _MD5_BLOCKS + 1)}
+
+
+def _md5_round(state: list[np.ndarray], words: np.ndarray) -> None:
+    """One block of many messages: words has 16 rows, state four."""
+    a, b, c, d = (x.copy() for x in state)
+    f, t = np.empty_like(a), np.empty_like(a)
+    for k in range(64):
+        if k < 16:
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+        elif k < 32:
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+        elif k < 48:
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+        else:
+            np.bitwise_not(d, out=f)
+            f |= b
+            f ^= c
+        f += a
+        f += _MD5_ADD[k]
+        f += words[_MD5_WORD[k]]
+        np.left_shift(f, _MD5_TURN[k], out=t)
+        f >>= np.uint32(32) - _MD5_TURN[k]
+        t |= f
+        t += b
+        a, b, c, d, t = d, t, b, c, a
+    for x, y in zip(state, (a, b, c, d)):
+        x += y
+
+
+def md5_heads(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The first 8 bytes, as big-endian numbers, of the MD5 of every data[start:stop]."""
+    out = np.empty(len(start), np.uint64)
+    length = stop - start
+    blocks = (length + 8) // 64 + 1
+    padded = np.concatenate([data, np.zeros(64 * _MD5_BLOCKS, np.uint8)])
+    for n in range(1, _MD5_BLOCKS + 1):
+        every = np.flatnonzero(blocks == n)
+        views = np.lib.stride_tricks.sliding_window_view(padded, 64 * n)
+        for k in range(0, len(every), _MD5_LOT):
+            lot = every[k : k + _MD5_LOT]
+            own = views[start[lot]]
+            own &= _MD5_KEPT[n][length[lot]]
+            own |= _MD5_END[n][length[lot]]
+            words = np.ascontiguousarray(own.view("<u4").T)
+            words[-2] = length[lot] * 8
+            state = [np.full(len(lot), x, np.uint32) for x in _MD5_FIRST]
+            for b in range(n):
+                _md5_round(state, words[16 * b : 16 * b + 16])
+            out[lot] = state[0].byteswap().astype(np.uint64) << np.uint64(32) | state[1].byteswap()
+    for k in np.flatnonzero(blocks > _MD5_BLOCKS):
+        out[k] = int.from_bytes(md5(data[start[k] : stop[k]]).digest()[:8])
+    return out
+
+
+def spaced_runs(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop) in bytes of every run of n words, words being what single spaces separate, and first[i]:first[i + 1] for those of text i. Fewer than n words are one run; no text may be empty."""
+    gaps = np.flatnonzero(data == 32)
+    starts, stops = np.sort(np.concatenate([offsets[:-1], gaps + 1])), np.sort(np.concatenate([gaps, offsets[1:]]))
+    word = np.searchsorted(starts, offsets)
+    have = np.maximum(np.diff(word) - n + 1, 1)
+    at = ranges(word[:-1], have)
+    return starts[at], stops[np.minimum(at + n, np.repeat(word[1:], have)) - 1], np.concatenate([[0], np.cumsum(have)])

@@ -16,6 +16,7 @@ from corpusloom.functions import kernels
 from corpusloom.functions import text as T
 from corpusloom.operators.components import components
 from corpusloom.operators.groups import PART, bounds, by_group, meeting, part_of
+from corpusloom.sources.tables import dealt
 from corpusloom.workspace import Workspace
 
 PRIME = (1 << 31) - 1
@@ -37,6 +38,8 @@ class Preset:
 PRESETS = {"strict": Preset(8, 13, 0.85), "fineweb": Preset(14, 8, 0.75), "hf-neardedup": Preset(32, 8, 0.70)}
 #: Words in a shingle; shortest text.
 SHINGLE, SHORTEST = 5, 40
+#: Bytes of text that are signed together, few enough for the cache.
+SIGN_BYTES = 1 << 18
 
 
 def coefficients(lanes: int, seed: int = 42) -> list[tuple[int, int]]:
@@ -56,23 +59,24 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     return a.join(b, "dataset", "left").select("dataset", "first_seen", "copies", "clusters", "largest", "wasted_tokens", F.coalesce("loose_copies", F.lit(0)).alias("loose_copies"))
 
 
-def sign(texts: list[str], preset: Preset, shingle: int) -> np.ndarray:
+def sign(texts: pa.Array, preset: Preset, shingle: int) -> np.ndarray:
     """Signatures of texts whose words single spaces separate, none of them empty: the least value of every lane over the hashes of the shingles."""
-    values: list[bytes] = []
-    at: list[int] = []
-    for t in texts:
-        at.append(len(values))
-        raw = t.encode()
-        gaps = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
-        ends = [*gaps.tolist(), len(raw)][shingle - 1 :] or [len(raw)]
-        values += {md5(raw[s:e]).digest()[:8] for s, e in zip([0, *(gaps + 1).tolist()], ends)}
+    data, offsets = kernels.buffers(texts)
+    start, stop, at = kernels.spaced_runs(data, offsets, shingle)
     p = np.uint64(PRIME)
-    flat = (np.frombuffer(b"".join(values), ">u8") >> np.uint64(4)).astype(np.uint64) % p
+    flat = (kernels.md5_heads(data, start, stop) >> np.uint64(4)) % p
     out = np.empty((len(texts), preset.lanes), np.int32)
+    v, high, low, less = (np.empty(len(flat), kind) for kind in (np.uint64, np.uint64, np.uint32, np.uint32))
     for k, (a, b) in enumerate(coefficients(preset.lanes)):
-        v = flat * np.uint64(a) + np.uint64(b)
-        v = (v & p) + (v >> np.uint64(31))  # modulo 2^31 - 1 but for one p, as v < p^2
-        out[:, k] = np.minimum.reduceat(np.minimum(v, v - p), at)
+        np.multiply(flat, np.uint64(a), out=v)
+        v += np.uint64(b)
+        np.right_shift(v, np.uint64(31), out=high)
+        v &= p
+        v += high  # modulo 2^31 - 1 but for one p, as a x + b < p^2
+        low[:] = v
+        np.subtract(low, np.uint32(PRIME), out=less)
+        np.minimum(low, less, out=low)
+        out[:, k] = np.minimum.reduceat(low, at[:-1])
     return out
 
 
@@ -88,9 +92,9 @@ def _sign(preset: Preset, shingle: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, e in kernels.runs(batch.column(3)):
+            for s, e in kernels.runs(batch.column(3), SIGN_BYTES):
                 part = batch.slice(s, e - s)
-                signature = sign(part.column(3).to_pylist(), preset, shingle)
+                signature = sign(part.column(3), preset, shingle)
                 key = [md5(x.tobytes()).digest() for x in signature]
                 lanes = signature.astype(np.uint64).reshape(len(key), preset.bands, preset.rows)
                 band = np.broadcast_to(np.arange(preset.bands, dtype=np.uint64), lanes.shape[:2])
@@ -115,7 +119,7 @@ class Near:
     def __init__(self, docs: DataFrame, preset: Preset = PRESETS["fineweb"], shingle: int = SHINGLE):
         self.preset = preset
         self.work = work = Workspace(docs.sparkSession)
-        seen = docs.where(F.length("text") >= SHORTEST).select("doc_id", "dataset", T.hash60(T.one_spaced(F.lower("text"))).alias("exact"), T.folded(F.col("text")).alias("words")).where("words <> ''")
+        seen = dealt(docs).where(F.length("text") >= SHORTEST).select("doc_id", "dataset", T.hash60(T.one_spaced(F.lower("text"))).alias("exact"), T.folded(F.col("text")).alias("words")).where("words <> ''")
         #: (doc_id, dataset, exact, key, bands, signature) of texts of 40 characters and more that have a word; exact is the hash of the text without regard to case and white space, key that of the signature.
         self.signed = work.save(seen.mapInArrow(_sign(preset, shingle), SIGNED), "signed")
         least = F.min_by(F.struct("doc_id", "bands", "signature"), "doc_id").alias("k")

@@ -10,16 +10,28 @@ from corpusloom.functions.patterns import canonical_role
 
 #: A table of fewer bytes of files may lie in one row group, which one task reads; its rows are then dealt out to all cores.
 SMALL_BYTES = 64 << 20
+#: Bytes of files whose rows make a task, where each byte takes long; beyond so many tasks these grow.
+TASK_BYTES, MOST_TASKS = 8 << 20, 10_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _size(rows: DataFrame) -> int:
+    """Bytes of the files that the rows come from, as the plan has it; very large where it has none."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """The same rows in tasks of TASK_BYTES, whatever the sizes of files and row groups, for steps that cost much more than the shuffle. Small tables are left to spread()."""
+    size = _size(rows)
+    return rows.repartition(min(MOST_TASKS, -(-size // TASK_BYTES))) if SMALL_BYTES < size < 1 << 50 else rows
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """The same rows, dealt out to all cores if the files are small: at most SMALL_BYTES are shuffled. Larger tables have row groups enough and stay where they are."""
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else rows
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if _size(rows) <= SMALL_BYTES else rows
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,13 +2,15 @@
 
 import json
 import random
+from hashlib import md5
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from corpusloom.operators import atlas, components, contamination, duplicates
-from corpusloom.sources import extract, readers, records, sniff
+from corpusloom.sources import extract, readers, records, sniff, tables
 
 
 def prose(seed, n):
@@ -158,3 +160,23 @@ def test_semantic_pairs_in_parts(spark, monkeypatch):
     for k in v:
         kept += [k] if not any(near(j, k) for j in kept) else []
     assert sorted(r.vec_id for r in atlas.semantic_keepers(table.where("vec_id < 151"), 2, 0.8).collect()) == kept
+
+
+def test_signatures_by_definition():
+    """Vectors of MD5 and lanes against hashlib and whole numbers, for messages of one block to many."""
+    preset, draw = duplicates.PRESETS["fineweb"], random.Random(5)
+    texts = [" ".join("ñ" * draw.randrange(1, 2 + 30 * (k % 9)) for _ in range(draw.randrange(1, 30))) for k in range(60)] + ["a", "a b c d e", "x" * 55, "x" * 56, "x" * 247, "x" * 248, "y" * 1000]
+    got = duplicates.sign(pa.array(["skipped", *texts])[1:], preset, 5)
+    for row, t in zip(got.tolist(), texts):
+        w = t.split(" ")
+        x = {int(md5(" ".join(w[i : i + 5]).encode()).hexdigest()[:15], 16) % duplicates.PRIME for i in range(max(len(w) - 4, 1))}
+        assert row == [min((a * v + b) % duplicates.PRIME for v in x) for a, b in duplicates.coefficients(preset.lanes)]
+
+
+def test_large_tables_are_dealt_out(spark, tmp_path, monkeypatch):
+    """One row group is not one task of signing."""
+    monkeypatch.setattr(tables, "SMALL_BYTES", 1 << 10)
+    monkeypatch.setattr(tables, "TASK_BYTES", 20 << 10)
+    spark.createDataFrame([(k, "d", prose(k, 200)) for k in range(200)], "doc_id bigint, dataset string, text string").coalesce(1).write.parquet(f"{tmp_path}/t")
+    near = duplicates.Near(spark.read.parquet(f"{tmp_path}/t"))
+    assert near.signed.count() == 200 and len(near.signed.inputFiles()) > 4
