@@ -25,6 +25,8 @@ PROFILES: dict[str, tuple[str, str]] = {
     "ar": ("ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "في من على الى"),
 }
 FLOOR, LEAST, MOST, SHORTEST = 0.30, 0.15, 0.75, 12
+#: Characters whose scripts are counted together, at some 20 bytes each.
+PIECE = 1 << 18
 _PROFILES = {lang: ((frozenset(letters), len(letters)), frozenset(common.split())) for lang, (letters, common) in PROFILES.items()}
 
 #: Ranges of letters by script, as inner parts of a class.
@@ -57,8 +59,11 @@ def _letter_table() -> np.ndarray:
 
 def script_of(text: str) -> str:
     """The script of most letters, the first of equals; None without letters."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    counts = np.bincount(_letter_table()[points], minlength=len(SCRIPTS) + 2)[:-1]
+    counts = np.zeros(len(SCRIPTS) + 2, np.int64)
+    for k in range(0, len(text), PIECE):
+        points = np.frombuffer(text[k : k + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        counts += np.bincount(_letter_table()[points], minlength=len(counts))
+    counts = counts[:-1]
     return (*SCRIPTS, "Other")[int(counts.argmax())] if counts.any() else "None"
 
 
@@ -81,8 +86,8 @@ def detect(text: Column) -> Column:
     @F.arrow_udf("struct<lang:string,confidence:double,script:string>")
     def look(column: pa.Array) -> pa.Array:
         found = []
-        for t in column.to_pylist():
-            t = "" if t is None else t.strip()
+        for value in column:  # one text at a time: a batch is large, and as strings several times that
+            t = (value.as_py() or "").strip()
             lang = ("unknown", 0.0) if len(t) < SHORTEST else language_of(t.lower() if t.isascii() else unicodedata.normalize("NFC", t.lower()))
             found.append((*lang, script_of(t)))
         names = ["lang", "confidence", "script"]

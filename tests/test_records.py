@@ -1,9 +1,12 @@
 """Checks of single records: what must fire, and what must stay silent."""
 
+import tracemalloc
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from corpusloom.functions import language
 from corpusloom.functions import patterns as P
 from corpusloom.functions import text as T
 from corpusloom.functions.language import detect, script_of
@@ -113,3 +116,21 @@ def test_null_empty_and_clashing(spark):
     for f in (duplicates.exact_duplicates, records.encoding_hygiene, records.line_shape_quality, records.personal_data, records.language_composition, records.totals, records.surface_measures, budget.packing, budget.stratified_budget):
         f(odd).collect()
         f(odd.limit(0)).collect()
+
+
+def test_languages_of_a_batch_hold_one_text(monkeypatch):
+    kept = {}
+    monkeypatch.setattr(language.F, "arrow_udf", lambda kind: lambda f: kept.setdefault("look", f) and (lambda column: None))
+    language.detect(None)
+    column = pa.array(["слово и не на " * 5000] * 200 + [None])
+    kept["look"](column[:1])  # tables are made once
+    tracemalloc.start()
+    try:
+        found = kept["look"](column)
+        assert tracemalloc.get_traced_memory()[1] < 10 << 20 < column.nbytes
+        tracemalloc.reset_peak()
+        assert script_of("ы" * 5_000_000 + "a" * 4_000_000) == "Cyrillic"
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    finally:
+        tracemalloc.stop()
+    assert found[0].as_py()["lang"] == "ru" and found[200].as_py() is None
