@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import kernels
 from corpusloom.functions import text as T
+from corpusloom.workspace import Workspace
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,6 +39,7 @@ def unigrams(docs: DataFrame, most: int = 120_000) -> DataFrame:
 def captions(docs: DataFrame, group: str = "dataset", terms: int = 12, shortest: int = 3) -> DataFrame:
     """The `terms` most telling words of each group, by count x ln(1 + N / (1 + groups that have the word)): (group, rank, word, score)."""
     counts = word_counts(docs, group).where(F.length("word") >= shortest).withColumnRenamed("n", "tf")
+    counts = Workspace(docs.sparkSession).save(counts, "counts")  # read three times, so that texts are read once
     df = counts.groupBy("word").agg(F.count("*").alias("df"))
     n = counts.select("group").distinct().agg(F.count("*").alias("groups"))
     scored = counts.join(df, "word").crossJoin(F.broadcast(n)).withColumn("score", F.round(F.col("tf") * F.ln(1 + F.col("groups") / (1 + F.col("df"))), 6))

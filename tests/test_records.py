@@ -10,7 +10,7 @@ from corpusloom.functions import language
 from corpusloom.functions import patterns as P
 from corpusloom.functions import text as T
 from corpusloom.functions.language import detect, script_of
-from corpusloom.operators import budget, duplicates, records
+from corpusloom.operators import budget, duplicates, records, vocabulary
 from corpusloom.sources.tables import with_turns
 
 
@@ -118,6 +118,13 @@ def test_null_empty_and_clashing(spark):
         f(odd.limit(0)).collect()
 
 
+def test_captions_read_texts_once(spark):
+    table = docs(spark, ["alpha beta gamma", "alpha delta delta"], "a").unionByName(docs(spark, ["alpha zeta"], "b"))
+    found = vocabulary.captions(table)
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r.word for r in found.where("`group` = 'a'").orderBy("rank").collect()] == ["delta", "alpha", "beta", "gamma"]
+
+
 def test_languages_of_a_batch_hold_one_text(monkeypatch):
     kept = {}
     monkeypatch.setattr(language.F, "arrow_udf", lambda kind: lambda f: kept.setdefault("look", f) and (lambda column: None))
